@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, packing, token_output, warc
+from . import minhash, mixing, packing, substring_dedup, token_output, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.digests(substring_dedup.remove_repeats(docs, width=50))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix(mixing.word_sizes(_table(spark, sf_dir, "documents")), weights=(5.0, 2.0, 1.0), cap=3.0)
     return mixing.taken_words(plan).select("doc_id", "source", "size", "source_size", "target", "taken")
@@ -46,6 +51,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_mixing": op2_mixing,
     "op3_token_output": op3_token_output,
     "op7_minhash": op7_minhash,
@@ -54,6 +60,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": """
+        WITH w AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+        ), x AS (
+            SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS h
+            FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)
+        ), f AS (SELECT h, min(doc_id) AS earliest FROM x GROUP BY h HAVING min(doc_id) < max(doc_id)),
+        g AS (SELECT x.doc_id, list(x.i) AS starts FROM x JOIN f ON x.h = f.h AND x.doc_id > f.earliest GROUP BY x.doc_id),
+        gone AS (SELECT DISTINCT doc_id, unnest(flatten(list_transform(starts, lambda i: range(i, i + 50)))) AS k FROM g),
+        n AS (SELECT doc_id, list(k) AS ks FROM gone GROUP BY doc_id),
+        k AS (
+            SELECT w.doc_id, len(ws) AS n_words, coalesce(len(ks), 0) AS n_removed,
+                CASE WHEN ks IS NULL THEN ws ELSE (SELECT coalesce(list(ws[j] ORDER BY j), []) FROM unnest(range(1, len(ws) + 1)) AS t(j) WHERE NOT list_contains(ks, j)) END AS kept
+            FROM w LEFT JOIN n ON w.doc_id = n.doc_id
+        )
+        SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+    """,
     "op7_minhash": """
         WITH RECURSIVE w AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
