@@ -87,14 +87,15 @@ def spread_prefix(df: DataFrame, group: str, order: list[str | Column], chunk: C
     return df.withColumn(out, F.col("_base") + F.col("_within")).drop("_g", "_c", "_base", "_within", "_chunk")
 
 
-def text_slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def text_slices(batch: pa.RecordBatch, column: str, most_bytes: int = 3 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of a batch of at most ``most_bytes`` of text (or one row), with the text's bytes and their row offsets; null is empty."""
     if not batch.num_rows:
         return
-    text = batch.column(batch.schema.get_field_index(column)).cast(pa.large_string())
+    text = batch.column(batch.schema.get_field_index(column))
     if text.null_count:
         text = text.fill_null("")
-    offsets = np.frombuffer(text.buffers()[1], np.int64, len(text) + 1, text.offset * 8)
+    kind = np.dtype(np.int64 if pa.types.is_large_string(text.type) else np.int32)
+    offsets = np.frombuffer(text.buffers()[1], kind, len(text) + 1, text.offset * kind.itemsize).astype(np.int64)
     data = text.buffers()[2]
     buf = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     at = 0

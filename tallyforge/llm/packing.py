@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunk_tokens import ChunkEncoder
+from .chunk_tokens import encoder
 from .common import Scratch, text_slices
 
 
@@ -64,10 +64,10 @@ def document_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity:
     """Pieces of ``docs(doc_id, text)``: doc_id, piece, start, length, ids_crc32. A null text is empty: its end id alone."""
 
     def cut(batches):
-        encoder = ChunkEncoder(tokenizer_path, rule)
+        known = encoder(tokenizer_path, rule)
         for batch in batches:
-            for rows, buf, offsets in text_slices(batch, "text", 8 << 20):
-                flat, at = encoder.encode(buf, offsets)
+            for rows, buf, offsets in text_slices(batch, "text"):
+                flat, at = known.encode(buf, offsets)
                 flat, at = np.insert(flat, at[1:], end_id), at + np.arange(rows.num_rows + 1)
                 lens = np.diff(at)
                 parts = -(-lens // capacity)

@@ -21,7 +21,7 @@ def crc(ids):
     return zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))
 
 
-TEXTS = ["", " ", "a  b", "\n\n x   y", "it's  we'LL  ", "é́ é   z", "tabs\tand\x0bmore\x0c!", "!!  ??", "　 a", "1234 5,678", "<|endoftext|> <|startoftext|>", "ΣΑΣ Σ İ", " ́x", "a  b", "x  b"]
+TEXTS = ["", " ", "a  b", "\n\n x   y", "it's  we'LL  ", "é́ é   z", "tabs\tand\x0bmore\x0c!", "!!  ??", "　 a", "1234 5,678", "<|endoftext|> <|startoftext|>", "a,b.c-d'e' f's. x!'s A%%%B ,a .5a,5", "ΣΑΣ Σ İ", " ́x", "a  b", "x  b"]
 
 
 @pytest.mark.parametrize(("name", "rule"), [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
