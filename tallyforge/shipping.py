@@ -13,7 +13,9 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Adds a zip of the package to the session's Python files, once an application."""
+    """Adds a zip of the package to the session's Python files, once an application, and bounds the batches that workers are sent."""
+    # Python workers get their rows in small batches: memory is theirs by the batch, whatever the length of a text
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
