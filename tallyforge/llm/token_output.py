@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunk_tokens import ChunkEncoder, binary_column
+from .chunk_tokens import binary_column, encoder
 from .common import Scratch, shuffle_partitions, text_slices
 
 MAGIC, BLOCK = b"TFIDS001", b"BLCK"
@@ -109,10 +109,10 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, rul
     cuts = np.array(ids.agg(F.percentile_approx("doc_id", steps, 10 * parts).alias("cuts")).first()["cuts"] or [], np.int64)
 
     def tokenize(batches):
-        encoder = ChunkEncoder(tokenizer_path, rule)
+        known = encoder(tokenizer_path, rule)
         for batch in batches:
-            for rows, buf, offsets in text_slices(batch.select(["doc_id", "text"]), "text", 8 << 20):
-                flat, at = encoder.encode(buf, offsets)
+            for rows, buf, offsets in text_slices(batch.select(["doc_id", "text"]), "text"):
+                flat, at = known.encode(buf, offsets)
                 n = rows.num_rows
                 flat, at = np.insert(flat, at[1:], end_id).astype(np.uint32), at + np.arange(n + 1)
                 doc_id = rows.column(0)
