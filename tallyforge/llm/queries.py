@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, minhash, mixing, packing, substring_dedup, token_output, warc
+from . import cap_dedup, language_id, minhash, mixing, packing, substring_dedup, token_output, topk, warc
+from .common import Scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,17 +43,25 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", language_id.is_held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "topk")
+    vectors = scratch.table("vectors", topk.quantised(_table(spark, sf_dir, "embeddings"), factor=256))
+    return topk.top_k(vectors.filter("vec_id % 50 = 0"), vectors, k=5, scratch=scratch)
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.document_pieces(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=1, capacity=4096)
-    from .common import Scratch
-
     return packing.pack(Scratch(spark, "pieces").table("pieces", pieces), capacity=4096)
 
 
+def op9_cap_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cap_dedup.near_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(warc.write_warc(_table(spark, sf_dir, "pages"))).drop("url")
 
@@ -62,12 +71,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_token_output": op3_token_output,
     "op4_language_id": op4_language_id,
+    "op5_topk": op5_topk,
     "op7_minhash": op7_minhash,
     "op8_packing": op8_packing,
+    "op9_cap_dedup": op9_cap_dedup,
     "op10_warc": op10_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+        )
+        SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
+        WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
+    """,
+    "op9_cap_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
+        n AS (SELECT a, count(*) AS n FROM l GROUP BY a),
+        r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+        SELECT e.vec_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_links, min(r.b) AS component_id, e.vec_id = min(r.b) AS kept
+        FROM embeddings e JOIN r ON r.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id GROUP BY e.vec_id
+    """,
     "op1_substring_dedup": """
         WITH w AS (
             SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
