@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cap_dedup, language_id, minhash, mixing, packing, substring_dedup, token_output, topk, warc
+from . import cap_dedup, language_id, minhash, mixing, packing, substring_dedup, token_output, topk, toxicity, warc
 from .common import Scratch
 
 
@@ -49,6 +49,13 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors.filter("vec_id % 50 = 0"), vectors, k=5, scratch=scratch)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = _table(spark, sf_dir, "documents").select("doc_id", "text"), language_id.is_held_out()
+    labelled = docs.filter(~held_out).join(toxicity.grades(_table(spark, sf_dir, "labels")).dropDuplicates(["doc_id"]), "doc_id")
+    out = toxicity.predict(docs, toxicity.fit(labelled))
+    return out.select("doc_id", held_out.alias("held_out"), "severity", "p_toxic", "toxic")
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=80)
 
@@ -72,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_output": op3_token_output,
     "op4_language_id": op4_language_id,
     "op5_topk": op5_topk,
+    "op6_toxicity": op6_toxicity,
     "op7_minhash": op7_minhash,
     "op8_packing": op8_packing,
     "op9_cap_dedup": op9_cap_dedup,
