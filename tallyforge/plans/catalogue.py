@@ -1,4 +1,6 @@
 """Every query of the reconciliation engine by name, and the same in DuckDB's SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import check_queries
+
+QUERIES: dict = {**check_queries.QUERIES}
+ORACLE_SQL: dict = {**check_queries.ORACLE_SQL}
