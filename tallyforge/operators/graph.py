@@ -6,18 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The table, computed and kept in the checkpoint folder: what follows neither plans nor computes it again."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyforge-"))
+    return df.checkpoint()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node of ``links(a, b)``; the component is the least node reachable. Nodes are compared as text.
 
     Each round every node takes the least label of itself, its neighbours and its label's label, so distances halve; it ends when
     no label changes. Rounds are written to the checkpoint folder, so a lost executor costs one round."""
-    spark = links.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyforge-"))
     text = links.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b")).filter("a <> b")
-    both = text.union(text.select("b", "a")).distinct().checkpoint()
+    both = settled(text.union(text.select("b", "a")).distinct())
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")).checkpoint()
     while True:
         near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
