@@ -117,7 +117,7 @@ def _windows(docs: DataFrame, repeated: DataFrame, width: int) -> DataFrame:
                     part = slice(cut, cut + 100_000)
                     yield pa.record_batch([pa.array(whole[part].view(np.int64)), pa.array(doc[row[part]]), pa.array(th[row[part]]), pa.array(word[part])], ["hash", "doc_id", "th", "word"])
 
-    joined = docs.join(repeated, ["doc_id", "th"]).select("doc_id", "th", "text", "keys")
+    joined = docs.join(repeated.hint("merge"), ["doc_id", "th"]).select("doc_id", "th", "text", "keys")
     return joined.mapInArrow(emit, "hash long, doc_id long, th long, word int")
 
 
@@ -135,12 +135,13 @@ def find_repeats(docs: DataFrame, width: int, scratch: Scratch) -> DataFrame:
     repeated = scratch.table("repeated", repeated)
     windows = scratch.table("windows", _windows(named, repeated, width))
     earliest = windows.groupBy("hash").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest")).filter("earliest < latest").drop("latest")
-    later = windows.join(earliest, "hash").filter("doc_id > earliest")
+    # written first: a join of two plain tables is one whose hot keys adaptive execution splits
+    later = windows.join(scratch.table("earliest", earliest).hint("merge"), "hash").filter("doc_id > earliest")
     starts = later.groupBy("doc_id", "th").agg(F.collect_set("word").alias("words"))
     found = starts.select("doc_id", "th", F.lit(False).alias("all"), "words")
     found = found.union(copies.select("doc_id", "th", F.lit(True), F.lit(None).cast("array<int>")))
     found = scratch.table("found", found)
-    scratch.drop("equal", "copies", "repeated", "windows")
+    scratch.drop("equal", "copies", "repeated", "windows", "earliest")
     return found
 
 
@@ -155,7 +156,7 @@ def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     names = docs.columns
     keyed = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)], F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_th"))
     found = find_repeats(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text"), width, scratch)
-    joined = keyed.join(found.withColumnsRenamed({"doc_id": "_f", "th": "_ft"}), (F.col("_id") == F.col("_f")) & (F.col("_th") == F.col("_ft")), "left")
+    joined = keyed.join(found.withColumnsRenamed({"doc_id": "_f", "th": "_ft"}).hint("merge"), (F.col("_id") == F.col("_f")) & (F.col("_th") == F.col("_ft")), "left")
     at = names.index("text")
     schema = ", ".join(f"c{i} {docs.schema[i].dataType.simpleString()}" for i in range(len(names)))
 
