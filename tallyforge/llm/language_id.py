@@ -105,16 +105,17 @@ def _spherical_kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generat
     return centers
 
 
-def fit(labelled: DataFrame, per_language: int = 400, centroids: int = 4, dims: int = 4096, margin: float = 0.4, seed: int = 1) -> Model:
+def fit(labelled: DataFrame, per_language: int = 400, centroids: int = 4, dims: int = 4096, margin: float = 0.4, most_languages: int = 1000, seed: int = 1) -> Model:
     """Fits on ``labelled(doc_id, text, lang)``: whole texts of rows with a letter and a non-null lang, at most
     ``per_language`` of each language (the bound of what the driver gathers: one vector each). The limit of rejection is
     ``margin`` times the cosine to its nearest centroid that a thousandth of the sample falls below. Without rows the model
-    knows no language."""
+    knows no language; of more than ``most_languages`` the most frequent are learned, which bounds the table of shares that
+    is broadcast, so no text is shuffled but the sample's."""
     named = labelled.filter(F.col("lang").isNotNull())
-    counts = named.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = named.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
     share = F.least(F.lit(1.0), F.lit(3.0 * per_language) / F.col("n"))  # rows of least hash: a bounded number, in no one task
     part = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) / F.lit(float(1 << 53))
-    near = named.select("doc_id", "lang", "text").withColumn("_h", part).join(counts.withColumnRenamed("lang", "_l"), F.col("lang") == F.col("_l"))
+    near = named.select("doc_id", "lang", "text").withColumn("_h", part).join(F.broadcast(counts.withColumnRenamed("lang", "_l")), F.col("lang") == F.col("_l"))
     near = near.filter((F.col("_h") <= share) & F.col("text").rlike(r"\p{L}"))
     rank = F.row_number().over(W.partitionBy("lang").orderBy("_h", "doc_id"))
     sample = near.withColumn("_r", rank).filter(F.col("_r") <= per_language).select("lang", "text")
