@@ -51,8 +51,8 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = _table(spark, sf_dir, "documents").select("doc_id", "text"), language_id.is_held_out()
-    labelled = docs.filter(~held_out).join(toxicity.grades(_table(spark, sf_dir, "labels")).dropDuplicates(["doc_id"]), "doc_id")
-    out = toxicity.predict(docs, toxicity.fit(labelled))
+    graded = toxicity.grades(_table(spark, sf_dir, "labels")).filter(~held_out)
+    out = toxicity.predict(docs, toxicity.fit(docs, graded))
     return out.select("doc_id", held_out.alias("held_out"), "severity", "p_toxic", "toxic")
 
 

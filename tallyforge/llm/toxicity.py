@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
-from .common import text_slices
+from .common import Scratch, text_slices
 from .language_id import _lower
 
 _WORD = np.zeros(256, bool)
@@ -103,13 +103,15 @@ def fit_ordinal(row: np.ndarray, column: np.ndarray, grade: np.ndarray, n_featur
     return w, first + np.concatenate([[0], np.cumsum(np.exp(gaps))])
 
 
-def fit(labelled: DataFrame, most_documents: int = 12_000, most_features: int = 2000, least_documents: int = 5, least_chi: float = 50.0, seed: int = 1) -> Model:
-    """Fits on ``labelled(doc_id, text, grade)``: whole texts of rows with a non-null grade of 0 or more, at most about
-    ``most_documents``. Without rows, or with one grade only, all documents get severity 0."""
-    rows = labelled.filter("grade is not null and grade >= 0 and text is not null")
-    total = rows.count()
+def fit(docs: DataFrame, graded: DataFrame, most_documents: int = 12_000, most_features: int = 2000, least_documents: int = 5, least_chi: float = 50.0, seed: int = 1) -> Model:
+    """Fits on the whole texts of ``docs(doc_id, text)`` that ``graded(doc_id, grade)`` names with a grade of 0 or more. Of more
+    than ``most_documents`` grades a sample by hash is taken; that table is broadcast, so texts are not shuffled to be
+    found. Without rows, or with one grade only, all documents get severity 0."""
+    known = graded.filter("grade is not null and grade >= 0 and doc_id is not null").dropDuplicates(["doc_id"])
     part = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) / F.lit(float(1 << 53))
-    sample = rows.filter(part <= min(1.0, most_documents / max(total, 1))).select(F.col("grade").cast("int").alias("grade"), "text").dropDuplicates(["text"])  # a copy is no further evidence
+    some = known.filter(part <= min(1.0, most_documents / max(known.count(), 1))).limit(2 * most_documents)  # a bound that the share stays far below
+    rows = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(some), "doc_id")
+    sample = Scratch(docs.sparkSession, "toxicity").table("sample", rows.select(F.col("grade").cast("int").alias("grade"), "text").dropDuplicates(["text"]))  # a copy is no further evidence
     n_by_grade = {r["grade"]: r["n"] for r in sample.groupBy("grade").agg(F.count("*").alias("n")).collect()}
     positive, negative = sum(n for g, n in n_by_grade.items() if g > 0), n_by_grade.get(0, 0)
     if not positive or not negative:

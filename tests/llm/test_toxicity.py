@@ -15,11 +15,11 @@ def graded(make_docs, spark):
             text.insert(rng.randrange(len(text)), ["Nasty!", "vilest"][grade - 1])
         rows.append((i, " ".join(text)))
         labels.append((i, grade))
-    return make_docs(rows).join(spark.createDataFrame([*labels, (5000, 1)], "doc_id long, grade int"), "doc_id")
+    return make_docs(rows), spark.createDataFrame([*labels, (5000, 1), (1, None), (None, 1)], "doc_id long, grade int")
 
 
 def test_severity_is_ordered(make_docs, spark):
-    model = toxicity.fit(graded(make_docs, spark))
+    model = toxicity.fit(*graded(make_docs, spark))
     assert len(model.thresholds) == 2 and model.thresholds[0] < model.thresholds[1]
     docs = make_docs([(1, "clean words"), (2, "a NASTY one"), (3, "the vilest"), (4, None), (5, ""), (6, "wabx " * 100_000 + "vilest"), (6, "nasty")])
     got = toxicity.predict(docs, model)
@@ -32,10 +32,10 @@ def test_severity_is_ordered(make_docs, spark):
 
 
 def test_no_labels(make_docs, odd_docs, spark):
-    none = odd_docs.join(spark.createDataFrame([], "doc_id long, grade int"), "doc_id")
-    got = toxicity.predict(odd_docs, toxicity.fit(none)).collect()
+    none = (odd_docs, spark.createDataFrame([], "doc_id long, grade int"))
+    got = toxicity.predict(odd_docs, toxicity.fit(*none)).collect()
     assert len(got) == odd_docs.count() and not any(r["toxic"] for r in got)
-    assert toxicity.predict(make_docs([]), toxicity.fit(none)).count() == 0
+    assert toxicity.predict(make_docs([]), toxicity.fit(*none)).count() == 0
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (3, None, 1), (4, 1, None), (5, 1, 1)], "doc_id long, quality int, toxic int")
     assert {r["doc_id"]: r["grade"] for r in toxicity.grades(labels).collect()} == {1: 0, 2: 2, 3: 1, 4: None, 5: 1}
 
