@@ -4,9 +4,11 @@ A signature position holds the least (layer, fraction) over the elements of a se
 in an order of its own, one a layer. Layers are done for all elements of many documents at once and end for a document
 as soon as every position is filled: later layers can't lower anything (early stopping).
 
-Candidates are found in band buckets without all pairs of a bucket: small buckets give all their pairs, large ones link every
-member to the smallest. Verified links make groups; then large buckets that still hold several groups compare members of
-different groups, blockwise. Equal sets are one node from the start.
+Candidates are found in band buckets without all pairs of a bucket. First each document is linked to at most two bucket
+centres (the members that meet most others): the one met in most bands, and the one that meets most. Verified links make groups. Then buckets
+that still hold several groups compare members of different groups, blockwise: at first for the best partner in each other group, and
+after those links are made, for all likely pairs that are left. Both sides of every join grow with the input, so all
+are sort-merge joins, also where a small input's could be broadcast. Equal sets are one node from the start.
 """
 
 from __future__ import annotations
@@ -44,8 +46,19 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarr
     return np.concatenate(out) if out else np.zeros(0, np.uint64), np.cumsum([0, *map(len, out)])
 
 
-def superminhash(elements: np.ndarray, offsets: np.ndarray, m: int) -> np.ndarray:
-    """Signatures (rows x m, 64-bit; EMPTY throughout for an empty set) of the rows' element hashes; m <= 256."""
+def superminhash(elements: np.ndarray, offsets: np.ndarray, m: int, most: int = 1 << 16) -> np.ndarray:
+    """Signatures (rows x m, 64-bit; EMPTY throughout for an empty set) of the rows' element hashes; m <= 256.
+
+    Rows are taken in groups of about ``most`` elements, which bounds the elements' orders held (m bytes each)."""
+    out, at = [], 0
+    while at < len(offsets) - 1:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
+        out.append(_superminhash(elements[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], m))
+        at = to
+    return np.concatenate(out) if out else np.zeros((0, m), np.uint64)
+
+
+def _superminhash(elements: np.ndarray, offsets: np.ndarray, m: int) -> np.ndarray:
     n_rows = len(offsets) - 1
     sig = np.full(n_rows * m, EMPTY, np.uint64)
     rows = np.repeat(np.arange(n_rows), np.diff(offsets))
@@ -88,10 +101,9 @@ def signatures(docs: DataFrame, words: int, bands: int, band_rows: int) -> DataF
 
     def sign(batches):
         for batch in batches:
-            for rows, buf, offsets in text_slices(batch, "text"):
+            for rows, buf, offsets in text_slices(batch, "text", 1 << 20):
                 elements, at = shingle_sets(buf, offsets, words)
-                sig = superminhash(elements, at, m)
-                short = bt.mix(sig.ravel() + np.uint64(1)).astype(np.uint16)
+                short = bt.mix(superminhash(elements, at, m).ravel() + np.uint64(1)).astype(np.uint16)
                 sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(e, dtype=np.uint64)]) for e in (elements, bt.mix(elements ^ np.uint64(SEED)))]
                 parts = [(s[at[1:]] - s[at[:-1]]) for s in sums]
                 set_ids = [f"{a:016x}{b:016x}{n:x}" for a, b, n in zip(parts[0].tolist(), parts[1].tolist(), np.diff(at).tolist(), strict=True)]
@@ -111,23 +123,27 @@ def _likely(pairs: DataFrame, sigs: DataFrame, m: int, least: float) -> DataFram
                 keep = (x == y).sum(axis=1) >= least * m
                 yield batch.select([0, 1]).filter(pa.array(keep))
 
-    joined = pairs.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb")), "b")
+    joined = pairs.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")).hint("merge"), "a").join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb")).hint("merge"), "b")
     return joined.select("a", "b", "sa", "sb").mapInArrow(agree, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs with 100 * |intersection| >= percent * |union| of their full shingle sets."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+def _full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(doc_id, elements, short): the full shingle sets of the documents in ``wanted(doc_id)``, and 16 bits of each element."""
 
     def sets(batches):
         for batch in batches:
             for rows, buf, offsets in text_slices(batch, "text"):
                 elements, at = shingle_sets(buf, offsets, words)
-                raw = elements.astype("<u8").tobytes()
-                yield pa.record_batch([rows.column(0), pa.array([raw[8 * a : 8 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())], ["doc_id", "elements"])
+                raw, small = elements.astype("<u8").tobytes(), bt.mix(elements).astype("<u2").tobytes()
+                spans = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+                yield pa.record_batch([rows.column(0), pa.array([raw[8 * a : 8 * b] for a, b in spans], pa.binary()), pa.array([small[2 * a : 2 * b] for a, b in spans], pa.binary())], ["doc_id", "elements", "short"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.hint("merge"), "doc_id", "left_semi")
+    return texts.mapInArrow(sets, "doc_id long, elements binary, short binary")
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
-    full = scratch.table(f"{name}-sets", texts.mapInArrow(sets, "doc_id long, elements binary"))
+
+def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """The pairs with 100 * |intersection| >= percent * |union| of their full shingle sets."""
 
     def compare(batches):
         for batch in batches:
@@ -140,13 +156,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int, scrat
                 keep.append(100 * common >= percent * (len(both) - common))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    joined = pairs.join(full.select(F.col("doc_id").alias("a"), F.col("elements").alias("ea")), "a").join(full.select(F.col("doc_id").alias("b"), F.col("elements").alias("eb")), "b")
-    links = scratch.table(f"{name}-links", joined.select("a", "b", "ea", "eb").mapInArrow(compare, "a long, b long").distinct())
-    scratch.drop(f"{name}-sets")
-    return links
+    joined = pairs.join(full.select(F.col("doc_id").alias("a"), F.col("elements").alias("ea")).hint("merge"), "a").join(full.select(F.col("doc_id").alias("b"), F.col("elements").alias("eb")).hint("merge"), "b")
+    return joined.select("a", "b", "ea", "eb").mapInArrow(compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 36, band_rows: int = 5, small: int = 8, block: int = 2048) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 36, band_rows: int = 5, block: int = 2048) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs(doc_id, text)``.
 
     Links join documents whose sets of distinct ``words``-word shingles (A-Z lower-cased) have a Jaccard similarity of
@@ -162,7 +176,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     copies = scratch.table("copies", copies.filter("rows > 1"))
     nodes = join_with_hot_keys(signed.select("doc_id", "n", F.when(F.col("n") > 0, F.col("set_id")).alias("set_id")), copies, "set_id", "rows", "doc_id")
     nodes = scratch.table("nodes", nodes.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep")))
-    sigs = taking.join(copies.select("set_id", "rep"), "set_id", "left").filter("rep is null or rep = doc_id").select("doc_id", "sig")
+    sigs = taking.join(copies.select("set_id", "rep").hint("merge"), "set_id", "left").filter("rep is null or rep = doc_id").select("doc_id", "sig")
     sigs = scratch.table("sigs", sigs)
 
     def band_keys(batches):
@@ -172,46 +186,75 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
                 h = np.broadcast_to(bt.mix(np.arange(1, bands + 1, dtype=np.uint64)), x.shape[:2]).copy()
                 for r in range(band_rows):
                     h = bt.mix(h ^ (x[:, :, r] + np.uint64(1)))
-                yield pa.record_batch([pa.array(h.ravel().view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), bands))], ["bucket", "doc_id"])
-
-    members = sigs.mapInArrow(band_keys, "bucket long, doc_id long")
-    shared = members.groupBy("bucket").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last"), F.count("*").alias("size"))
-    members = scratch.table("members", members.join(shared.filter("pivot < last").drop("last"), "bucket"))
-    few = members.filter(F.col("size") <= small)
-    pairs = few.select("bucket", F.col("doc_id").alias("a")).join(few.select("bucket", F.col("doc_id").alias("b")), "bucket").filter("a < b").select("a", "b")
-    stars = members.filter(F.col("size") > small).filter("pivot < doc_id").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
-    least = percent / 100 - 0.18  # over five standard deviations of an estimate from 180 positions
-    pairs = scratch.table("pairs", _likely(pairs.union(stars).distinct(), sigs, m, least))
-    links = _verified(pairs, docs, words, percent, scratch, "first")
-    groups = connected_components(links.union(nodes.filter("rep <> doc_id").select("doc_id", "rep")), scratch, "cc1")
-
-    crossed = _across_groups(members.filter(F.col("size") > small), groups, sigs, m, least, block, scratch)
-    fresh = scratch.table("crossed", crossed.distinct().join(pairs, ["a", "b"], "left_anti"))
-    if not fresh.isEmpty():
-        more = _verified(fresh, docs, words, percent, scratch, "second")
-        if not more.isEmpty():
-            groups = connected_components(links.union(more).union(nodes.filter("rep <> doc_id").select("doc_id", "rep")), scratch, "cc2")
-    scratch.drop("signed", "copies", "sigs", "members", "pairs", "crossed")
-    out = nodes.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+                yield pa.record_batch([pa.array(h.ravel().view(np.int64)), pa.array(np.tile(np.arange(bands, dtype=np.int16), len(x))), pa.array(np.repeat(batch.column(0).to_numpy(), bands))], ["bucket", "band", "doc_id"])
+
+    members = sigs.mapInArrow(band_keys, "bucket long, band short, doc_id long")
+    shared = members.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("size")).filter("low < high")
+    members = scratch.table("members", members.join(shared.select("bucket", "size").hint("merge"), "bucket"))
+    full = scratch.table("full", _full_sets(docs, members.select("doc_id").distinct(), words))
+    least = percent / 100 - 0.13  # over four standard deviations of an estimate from 180 positions
+    same = nodes.filter("rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    # first links, to the centres of buckets: members that meet the most others over all their buckets
+    met = members.groupBy("doc_id").agg(F.sum("size").alias("met"))
+    centre = members.join(met.hint("merge"), "doc_id").groupBy("bucket").agg(F.max(F.struct("met", (-F.col("doc_id")).alias("minus"))).alias("c"))
+    centre = centre.select("bucket", F.col("c.met").alias("met"), (-F.col("c.minus")).alias("centre"))
+    near = members.join(centre.hint("merge"), "bucket").filter("centre <> doc_id").groupBy("doc_id", "centre").agg(F.count("*").alias("n"), F.first("met").alias("met"))
+    most = lambda *by: F.max(F.struct(*by, F.col("centre").alias("c")))["c"]
+    chosen = near.groupBy("doc_id").agg(most("n", "met").alias("most"), most("met", "n").alias("widest"))
+    pairs = chosen.select(F.explode(F.array_distinct(F.array("most", "widest"))).alias("x"), F.col("doc_id").alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    links = scratch.table("links0", _verified(_likely(pairs, sigs, m, least), full, percent))
+    # then across the groups that still share a bucket: a best partner in each other group, and at last all likely pairs
+    for number, best_only in ((1, True), (2, False)):
+        groups = connected_components(links.union(same), scratch, f"cc{number}")
+        crossed = scratch.table(f"crossed{number}", _across_groups(members, groups, sigs, full, m, band_rows, least, percent, block, best_only, scratch, f"grouped{number}").distinct())
+        more = scratch.table(f"links{number}", _verified(crossed, full, percent))
+        links = links.union(more)
+    if not more.isEmpty():
+        groups = connected_components(links.union(same), scratch, "cc3")
+    scratch.drop("signed", "copies", "sigs", "members", "full", "crossed1", "crossed2", "grouped1", "grouped2")
+    out = nodes.join(groups.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _across_groups(members: DataFrame, groups: DataFrame, sigs: DataFrame, m: int, least: float, block: int, scratch: Scratch) -> DataFrame:
-    """Likely pairs (a, b) within a bucket whose members are in different groups; a bucket is compared block by block."""
-    grouped = members.select("bucket", "doc_id", "size").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("group", F.coalesce("component", "doc_id"))
-    grouped = scratch.table("grouped", grouped.select("bucket", "doc_id", "size", "group"))
+def _may_reach(a: np.ndarray, b: np.ndarray, shorts: list[bytes], percent: int) -> np.ndarray:
+    """Which pairs of sets can be similar enough, by an upper bound of their intersection; ``a`` is in runs of equal values."""
+    out = np.zeros(len(a), bool)
+    seen = np.zeros(1 << 16, bool)
+    bounds = run_bounds(a)
+    for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        own = np.frombuffer(shorts[a[s]], "<u2")
+        seen[own] = True
+        others = [np.frombuffer(shorts[k], "<u2") for k in b[s:e].tolist()]
+        sizes = np.array([len(x) for x in others])
+        common = np.minimum(np.add.reduceat(seen[np.concatenate(others)].astype(np.int64), np.cumsum(sizes) - sizes), len(own))
+        out[s:e] = 100 * common >= percent * (sizes + len(own) - common)
+        seen[own] = False
+    return out
+
+
+def _across_groups(members: DataFrame, groups: DataFrame, sigs: DataFrame, full: DataFrame, m: int, band_rows: int, least: float, percent: int, block: int, best_only: bool, scratch: Scratch, name: str) -> DataFrame:
+    """Likely pairs (a, b) within a bucket whose members are in different groups, block by block; with ``best_only`` each
+    member gives the one that agrees most of each other group.
+
+    A pair must agree in enough positions, and its elements' 16 bits must allow the similarity: counting equal ones can
+    only overstate the intersection. So what leaves a bucket is all but the links themselves, however many it compares."""
+    grouped = members.select("bucket", "band", "doc_id", "size").join(groups.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left").withColumn("group", F.coalesce("component", "doc_id"))
+    grouped = scratch.table(name, grouped.select("bucket", "band", "doc_id", "size", "group"))
     mixed = grouped.groupBy("bucket").agg(F.min("group").alias("x"), F.max("group").alias("y")).filter("x < y").select("bucket")
-    rows = grouped.join(mixed, "bucket", "left_semi").join(sigs, "doc_id")
+    rows = grouped.join(mixed.hint("merge"), "bucket", "left_semi").join(sigs.hint("merge"), "doc_id").join(full.select("doc_id", "short").hint("merge"), "doc_id")
     chunks = F.ceil(F.col("size") / F.lit(block)).cast("int")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    rows = rows.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "doc_id", "group", "sig")
+    rows = rows.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "doc_id", "group", "sig", "band", "short")
 
     def compare(batches):
         for table in key_groups(batches, ["bucket", "low", "high"]):
             bucket, low, high, own, doc, group = (table.column(k).to_numpy() for k in range(6))
+            band = table.column(7).to_numpy()
             sig = np.frombuffer(b"".join(table.column(6).to_pylist()), "<u2").reshape(-1, m)
+            shorts = table.column(8).to_pylist()
             bounds = run_bounds(bucket, low, high)
+            out = []
             for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 for at in range(s, e, 256):
                     to = min(at + 256, e)
@@ -221,9 +264,29 @@ def _across_groups(members: DataFrame, groups: DataFrame, sigs: DataFrame, m: in
                     i, j = np.nonzero(apart)
                     for cut in range(0, len(i), 1 << 15):
                         a, b = at + i[cut : cut + (1 << 15)], s + j[cut : cut + (1 << 15)]
-                        keep = (sig[a] == sig[b]).sum(axis=1) >= least * m
-                        if keep.any():
-                            yield pa.record_batch([pa.array(doc[a[keep]]), pa.array(doc[b[keep]])], ["a", "b"])
+                        agree = (sig[a] == sig[b]).sum(axis=1)
+                        likely = agree >= least * m
+                        a, b, agree = a[likely], b[likely], agree[likely]
+                        if len(a):  # a pair counts in the first band that it shares
+                            bands = (sig[a] == sig[b]).reshape(len(a), -1, band_rows).all(axis=2)
+                            here = bands.argmax(axis=1) == band[s]
+                            a, b, agree = a[here], b[here], agree[here]
+                        if len(a):
+                            allowed = _may_reach(a, b, shorts, percent)
+                            a, b, agree = a[allowed], b[allowed], agree[allowed]
+                        if best_only and len(a):
+                            # each of the two sides names its best partner in the other's group
+                            pick = np.zeros(len(a), bool)
+                            for x, y in ((a, b), (b, a)):
+                                order = np.lexsort((-agree, group[y], doc[x]))
+                                first = run_bounds(doc[x][order], group[y][order])[:-1]
+                                pick[order[first]] = True
+                            a, b = a[pick], b[pick]
+                        if len(a):
+                            out.append((doc[a], doc[b]))
+                if out:
+                    yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "b"])
+                    out = []
 
     dealt = rows.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
     return dealt.mapInArrow(compare, "a long, b long")

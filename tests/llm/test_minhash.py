@@ -88,8 +88,8 @@ def test_near_duplicates(make_docs):
     rng = random.Random(4)
     texts = family(rng, 25)
     rows = [(1000 - i, t) for i, t in enumerate(texts)] + [(2000 + i, texts[0].upper()) for i in range(40)] + [(3000, None), (3001, ""), (3002, "a b"), (3003, "A  b"), (3004, "a"), (3005, " \n ")]
-    for small, block in ((8, 2048), (2, 16)):
-        got = minhash.near_duplicates(make_docs(rows), words=4, percent=80, small=small, block=block).collect()
+    for block in (2048, 8):
+        got = minhash.near_duplicates(make_docs(rows), words=4, percent=80, block=block).collect()
         assert {r["doc_id"]: tuple(r)[1:] for r in got} == brute(rows, 4, 80)
         assert len(got) == len(rows)
 
