@@ -90,7 +90,7 @@ def mix(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: flo
     touched = parts.select("*", F.explode(F.sequence(F.floor(F.col("low") * cells), F.least(F.floor(F.col("high") * cells), F.lit(cells)))).alias("cell"))
     slots = spark.range(n_slots).select(F.col("id").alias("slot"), _point(F.col("id")).alias("x")).withColumn("cell", F.floor(F.col("x") * cells))
     slots = slots.join(touched, "cell").filter("x >= low and x < high").select("slot", "source_no", F.lit(1).alias("one"))
-    slots = scratch.table("slots", spread_prefix(slots, "source_no", ["slot"], F.shiftright("slot", 14), "one", "block", scratch).select("source_no", "block", "slot"))
+    slots = scratch.table("slots", spread_prefix(slots, "source_no", ["slot"], F.shiftright("slot", 11), "one", "block", scratch).select("source_no", "block", "slot"))
     counts = slots.groupBy("source_no").agg(F.count("*").alias("n"))
     used = targets.join(counts, "source_no", "left").select("*", F.when(F.col("take") > 0, F.greatest(F.lit(1), F.least(F.coalesce("n", F.lit(0)), "take"))).otherwise(F.lit(0)).cast("long").alias("blocks")).drop("n")
     used = scratch.table("used", used)
@@ -98,7 +98,7 @@ def mix(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: flo
     schedule = slots.join(used.select("source_no", "blocks"), "source_no").filter("block < blocks").select("source_no", "block", "slot").unionByName(missing)
     placed = sizes.join(used.select(F.col("source").alias("_s"), "source_no", "source_size", "target", "take", "blocks"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     placed = placed.withColumn("_h", F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 2))
-    bits = max(0, (max(1, sizes.count()) // 20_000).bit_length())
+    bits = max(0, (max(1, sizes.count()) // 2_000).bit_length())
     documents = spread_prefix(placed, "source_no", ["_h", "doc_id", "size"], F.shiftright("_h", 62 - bits), "size", "at", scratch).drop("_h")
     # positions in the source's stream, passes one after another: [pass * source_size + at, ... + size), cut at take
     passes = F.when((F.col("size") > 0) & (F.col("take") > F.col("at")), F.sequence(F.lit(0).cast("long"), F.floor((F.col("take") - F.col("at") - 1) / F.col("source_size")).cast("long")))
