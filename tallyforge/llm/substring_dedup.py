@@ -60,7 +60,7 @@ def _estimated_repeated(docs: DataFrame, width: int, shards: int) -> DataFrame:
 
     def sketch(batches):
         for number, batch in enumerate(batches):
-            for rows, buf, offsets in text_slices(batch, "text", 16 << 20):
+            for rows, buf, offsets in text_slices(batch, "text"):
                 _, _, first, words = _word_hashes(buf, offsets)
                 _, row, key = window_keys(words, first, width)
                 if not len(key):
@@ -163,7 +163,7 @@ def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     def clean(batches):
         for batch in batches:
             batch = batch.rename_columns([*batch.schema.names[: len(names)], "all", "words"])
-            for rows, buf, offsets in text_slices(batch, f"c{at}", 8 << 20):
+            for rows, buf, offsets in text_slices(batch, f"c{at}"):
                 starts, ends, first = bt.word_spans(buf, offsets)
                 gone = np.zeros(len(starts) + 1, np.int32)
                 windows = rows.column(len(names) + 1)
