@@ -3,8 +3,9 @@
 For each of a few tables a random rotation splits a unit vector in two halves, each scored against a random code of
 directions; a table's filters are all pairs of code words. Every vector has a cap of its own around it, as wide as is needed for
 ``filters`` directions of a table to exceed its threshold; list decoding finds those from the best words of either half, never
-scoring all pairs. Vectors meet in the filters they share; pairs are verified there in double precision, and a pair is
-counted in the least filter that it shares.
+scoring all pairs. Vectors meet in the filters they share, at first as a byte a component with the length of the rounding error: that
+bounds every cosine, and only members that may have a partner come back whole. Pairs are verified then in double precision, and
+a pair is counted in the least filter that it shares.
 
 Codes grow with the number of vectors, so that a filter holds about ``bucket`` of them. Buckets emit a row per member, never
 pairs; those over ``block`` members are split into blocks that meet pairwise in tasks of their own. With 3 tables of 10
@@ -53,6 +54,13 @@ def list_decode(unit: np.ndarray, rotation: np.ndarray, codes: list[np.ndarray],
     return np.take_along_axis(best_a, top // filters, 1) * size + np.take_along_axis(best_b, top % filters, 1)
 
 
+def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A byte for each component, the scale of each vector, and the length of what rounding leaves out (rounded up)."""
+    scale = np.abs(unit).max(axis=1) / 127
+    short = np.rint(unit / scale[:, None]).astype(np.int8)
+    return short, scale, np.linalg.norm(unit - short * scale[:, None], axis=1) + 1e-9
+
+
 def _clean(batches):
     for batch in batches:
         ids, keys, dims, raws = [], [], [], []
@@ -99,19 +107,45 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, bucket: int = 24, tabl
                     unit = np.frombuffer(b"".join(piece.column(3).to_pylist()), "<f8").reshape(-1, d)
                     found = np.concatenate([list_decode(unit, *code, filters) + k * words[d] ** 2 for k, code in enumerate(made[d])], axis=1)
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * found.shape[1], pa.int32()), pa.array(found.ravel()))
-                    yield pa.record_batch([*piece.columns, lists], [*piece.schema.names, "filters"])
+                    short, scale, error = quantise(unit)
+                    yield pa.record_batch([*piece.columns, lists, pa.array([r.tobytes() for r in short], pa.binary()), pa.array(scale), pa.array(error)], [*piece.schema.names, "filters", "short", "scale", "error"])
 
-    decoded = nodes.select("rep", "copies", "dim", "unit").mapInArrow(decode, "rep long, copies long, dim int, unit binary, filters array<bigint>")
+    decoded = nodes.select("rep", "copies", "dim", "unit").mapInArrow(decode, "rep long, copies long, dim int, unit binary, filters array<bigint>, short binary, scale double, error double")
     decoded = scratch.table("decoded", decoded)
-    members = decoded.select("rep", "copies", "dim", "unit", "filters", F.explode("filters").alias("filter"))
+    # first only bytes a component meet; those whose bytes rule out every partner in a filter go no further there
+    members = decoded.select("rep", "dim", "short", "scale", "error", F.explode("filters").alias("filter"))
     counts = decoded.select("dim", F.explode("filters").alias("filter")).groupBy("dim", "filter").agg(F.count("*").alias("size")).filter("size > 1")
     members = members.join(counts, ["dim", "filter"])
     chunks = F.ceil(F.col("size") / F.lit(block)).cast("int")
     members = members.withColumn("own", F.pmod(F.xxhash64("rep"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    members = members.select("dim", "filter", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "rep", "copies", "unit", "filters")
+    members = members.select("dim", "filter", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "rep", "short", "scale", "error")
+    place = ["dim", "filter", "low", "high"]
+
+    def may_meet(batches):
+        for table in key_groups(batches, place):
+            dim, name, low, high, own, rep = (table.column(k).to_numpy() for k in range(6))
+            scale, error = (table.column(k).to_numpy() for k in (7, 8))
+            bounds = run_bounds(dim, name, low, high)
+            shorts, keep = table.column(6).combine_chunks(), []
+            for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                if e - s < 2:
+                    continue
+                x = np.frombuffer(b"".join(shorts.slice(s, e - s).to_pylist()), np.int8).reshape(e - s, dim[s]).astype(np.float32) * scale[s:e, None].astype(np.float32)
+                most = error[s:e]
+                near = x @ x.T + most[:, None] + most[None, :] + most[:, None] * most[None, :] >= cosine - 1e-4
+                np.fill_diagonal(near, False)
+                if low[s] != high[s]:
+                    near &= own[s:e, None] != own[None, s:e]
+                keep.append(s + np.flatnonzero(near.any(axis=1)))
+            if keep and len(at := np.concatenate(keep)):
+                yield pa.record_batch([pa.array(c[at]) for c in (dim, name, low, high, own, rep)], [*place, "own", "rep"])
+
+    dealt = members.repartition(*place).sortWithinPartitions(*place)
+    some = scratch.table("some", dealt.mapInArrow(may_meet, "dim int, filter long, low int, high int, own int, rep long"))
+    members = some.join(decoded.select("rep", "copies", "unit", "filters").hint("merge"), "rep").select(*place, "own", "rep", "copies", "unit", "filters")
 
     def meet(batches):
-        for table in key_groups(batches, ["dim", "filter", "low", "high"]):
+        for table in key_groups(batches, place):
             dim, name, low, high, own, rep, copies = (table.column(k).to_numpy() for k in range(7))
             bounds = run_bounds(dim, name, low, high)
             units, lists = table.column(7).combine_chunks(), table.column(8).combine_chunks()
@@ -149,7 +183,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, bucket: int = 24, tabl
             if out[0]:
                 yield pa.record_batch([pa.array(np.concatenate(c)) for c in out], ["rep", "links", "root"])
 
-    dealt = members.repartition("dim", "filter", "low", "high").sortWithinPartitions("dim", "filter", "low", "high")
+    dealt = members.repartition(*place).sortWithinPartitions(*place)
     met = scratch.table("met", dealt.mapInArrow(meet, "rep long, links long, root long").groupBy("rep", "root").agg(F.sum("links").alias("links")))
     groups = connected_components(met.select(F.col("rep").alias("a"), F.col("root").alias("b")), scratch)
     links = met.groupBy("rep").agg(F.sum("links").alias("links"))
@@ -159,5 +193,5 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, bucket: int = 24, tabl
     out = join_with_hot_keys(rows.select("vec_id", "key"), found, "key", "copies", "vec_id")
     component = F.coalesce("component_id", "vec_id")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
-    scratch.drop("decoded")
+    scratch.drop("decoded", "some")
     return out
