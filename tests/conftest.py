@@ -20,7 +20,8 @@ def spark():
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "4g")
+        .config("spark.driver.memory", "6g")
+        .config("spark.driver.extraJavaOptions", "-Xss16m")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
