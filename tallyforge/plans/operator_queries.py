@@ -371,9 +371,15 @@ def components(spark, sf_dir):
     return graph.components(li.select((F.col("l_orderkey") * 10).alias("a"), (F.col("l_partkey") * 10 + 1).alias("b")))
 
 
+@query()
+def components_whole(spark, sf_dir):
+    """``components`` reads the sample that its recursive SQL can follow; this one links all of lineitem."""
+    return graph.components(table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10).alias("a"), (F.col("l_partkey") * 10 + 1).alias("b")))
+
+
 @query()
 def constrained_clusters(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").filter("l_partkey % 40 = 0 and l_orderkey % 5 = 0")
+    li = table(spark, sf_dir, "lineitem")
     links = li.select(F.concat(F.lit("o"), "l_orderkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b"), (F.col("l_quantity") / 50).alias("prob"))
     nodes = links.select(F.col("a").alias("id"), F.col("a").alias("fact")).union(links.select("b", F.lit(None).cast("string"))).distinct()
     return linking.constrained_clusters(links, nodes, "id", ["fact"])
