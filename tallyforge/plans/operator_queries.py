@@ -409,14 +409,46 @@ def issue_merge(spark, sf_dir):
     return issues.merge_issues(known, found, "r2")
 
 
+# Run 1 has the events to January 20, run 2 those from January 11: together all. Findings by hour of day are met in one run or both.
+_RUNS = {"known": "CAST(ts AS DATE) < DATE '2024-01-21'", "found": "CAST(ts AS DATE) >= DATE '2024-01-11'"}
+_FOUND_BY_HOUR = """SELECT concat(event_type, '-', CAST(user_id AS STRING), '-', CAST(hour(ts) AS STRING)) AS fingerprint, event_type AS check_id, CASE WHEN max(value) > 80 THEN 'HIGH' ELSE 'LOW' END AS severity, CAST(count(*) AS STRING) AS message FROM events WHERE {run} GROUP BY event_type, user_id, hour(ts)"""
+
+
+@query(f"""
+    WITH k AS ({_FOUND_BY_HOUR.format(run=_RUNS["known"])}), f AS ({_FOUND_BY_HOUR.format(run=_RUNS["found"])})
+    SELECT coalesce(f.fingerprint, k.fingerprint) AS fingerprint, coalesce(f.check_id, k.check_id) AS check_id, coalesce(f.severity, k.severity) AS severity, coalesce(f.message, k.message) AS message,
+        CASE WHEN k.fingerprint IS NOT NULL THEN 'accepted' ELSE 'open' END AS status, CASE WHEN k.fingerprint IS NOT NULL THEN 'ann' END AS owner, NULL AS note,
+        CASE WHEN k.fingerprint IS NOT NULL THEN 'r1' ELSE 'r2' END AS first_seen_run, CASE WHEN f.fingerprint IS NOT NULL THEN 'r2' ELSE 'r1' END AS last_seen_run, f.fingerprint IS NOT NULL AS active
+    FROM k FULL JOIN f ON k.fingerprint = f.fingerprint""")
+def issue_merge_whole(spark, sf_dir):
+    table(spark, sf_dir, "events").createOrReplaceTempView("events")
+    known = spark.sql(_FOUND_BY_HOUR.format(run=_RUNS["known"])).select("*", F.lit("accepted").alias("status"), F.lit("ann").alias("owner"), F.lit(None).cast("string").alias("note"), F.lit("r1").alias("first_seen_run"), F.lit("r1").alias("last_seen_run"), F.lit(True).alias("active"))
+    found = spark.sql(_FOUND_BY_HOUR.format(run=_RUNS["found"])).withColumn("seq", F.lit(1))
+    return issues.merge_issues(known, found, "r2")
+
+
 @query("""
     WITH i AS (SELECT o_custkey AS issue_id, list(o_orderkey ORDER BY o_orderkey) AS refs FROM orders WHERE o_orderkey % 9 = 0 GROUP BY o_custkey),
     x AS (SELECT issue_id, unnest(refs) AS ref FROM i)
     SELECT issue_id, string_agg(CASE WHEN l.n IS NULL THEN concat(CAST(ref AS VARCHAR), ':note') ELSE concat(CAST(ref AS VARCHAR), ':record:', CAST(l.n AS VARCHAR)) END, ' | ' ORDER BY ref) AS evidence
     FROM x LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY l_orderkey) l ON l.l_orderkey = ref GROUP BY issue_id""")
 def evidence_enrich(spark, sf_dir):
-    found = table(spark, sf_dir, "orders").filter("o_orderkey % 9 = 0").groupBy(F.col("o_custkey").alias("issue_id")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("refs")).withColumn("refs", F.col("refs").cast("array<string>"))
-    records = table(spark, sf_dir, "lineitem").filter("l_orderkey % 2 = 0").groupBy(F.col("l_orderkey").cast("string").alias("ref")).agg(F.count("*").cast("string").alias("locator")).select("ref", F.lit("lineitem").alias("source"), "locator", F.lit(None).cast("string").alias("raw"))
+    return _evidence(table(spark, sf_dir, "orders").filter("o_orderkey % 9 = 0"), table(spark, sf_dir, "lineitem").filter("l_orderkey % 2 = 0"))
+
+
+@query("""
+    WITH i AS (SELECT o_custkey AS issue_id, list(o_orderkey ORDER BY o_orderkey) AS refs FROM orders GROUP BY o_custkey),
+    x AS (SELECT issue_id, unnest(refs) AS ref FROM i)
+    SELECT issue_id, string_agg(CASE WHEN l.n IS NULL THEN concat(CAST(ref AS VARCHAR), ':note') ELSE concat(CAST(ref AS VARCHAR), ':record:', CAST(l.n AS VARCHAR)) END, ' | ' ORDER BY ref) AS evidence
+    FROM x LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) l ON l.l_orderkey = ref GROUP BY issue_id""")
+def evidence_enrich_whole(spark, sf_dir):
+    """All orders and all of lineitem; orders without lines are the notes."""
+    return _evidence(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"))
+
+
+def _evidence(orders: DataFrame, lines: DataFrame) -> DataFrame:
+    found = orders.groupBy(F.col("o_custkey").alias("issue_id")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("refs")).withColumn("refs", F.col("refs").cast("array<string>"))
+    records = lines.groupBy(F.col("l_orderkey").cast("string").alias("ref")).agg(F.count("*").cast("string").alias("locator")).select("ref", F.lit("lineitem").alias("source"), "locator", F.lit(None).cast("string").alias("raw"))
     rows = issues.enrich_evidence(found, records)
     line = F.transform("evidence", lambda e: F.concat_ws(":", e["ref"], e["kind"], e["locator"]))
     return rows.select("issue_id", F.array_join(line, " | ").alias("evidence"))
