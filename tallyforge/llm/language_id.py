@@ -4,7 +4,8 @@ A text's terms are its byte n-grams of 1 to 4 bytes within lower-cased letter ru
 side), hashed into ``dims`` places. Counts are damped (log(1 + n)), weighted by inverse document frequency and normalised.
 Each language has several centroids, fitted by spherical k-means on its sample; a text goes to the language of the
 centroid of greatest cosine. A text is rejected if it has no letter, or if its distance (1 - cosine) to every centroid is
-over a limit taken from the distances of the sample itself.
+over the limit for its nearest language and its number of distinct terms. Any text comes nearer to every centroid as its terms
+grow in number, so random letters at length score above short texts of a language; among texts of as many terms they stand apart.
 
 The model is fitted on a bounded sample: at most ``per_language`` labelled documents of a language, those of least hash.
 """
@@ -36,7 +37,7 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray  # (languages * several, dims)
     owner: np.ndarray  # index of the language of each centroid
-    limit: float  # a text whose best cosine is below this is rejected
+    limits: np.ndarray  # (languages, classes of distinct terms): a text whose best cosine is below its own is rejected
 
     @property
     def dims(self) -> int:
@@ -105,10 +106,40 @@ def _spherical_kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generat
     return centers
 
 
-def fit(labelled: DataFrame, per_language: int = 400, centroids: int = 4, dims: int = 4096, margin: float = 0.4, most_languages: int = 1000, seed: int = 1) -> Model:
+def _term_class(counts: np.ndarray) -> np.ndarray:
+    """Class of each row by its number of distinct terms: two to an octave."""
+    return np.floor(2 * np.log2(np.maximum((counts > 0).sum(axis=1), 1))).astype(np.int64)
+
+
+def _limits(v: np.ndarray, y: np.ndarray, classes: np.ndarray, n_classes: int, centroids: int, spread: float, floor: float, least: int, seed: int) -> np.ndarray:
+    """The limit of each language and class: mean less ``spread`` standard deviations of the cosines of its sample texts to centroids
+    that were fitted without them (four folds). A class of under ``least`` texts borrows from the nearest ones; a language of
+    under ``least`` has ``floor``."""
+    rng, fold, cosine = np.random.default_rng(seed), np.arange(len(v)) % 4, np.zeros(len(v))
+    n_languages = int(y.max()) + 1
+    out = np.full((n_languages, n_classes), floor)
+    if not any((y == k).sum() >= least for k in range(n_languages)):
+        return out
+    for f in range(4):
+        parts = [v[(fold != f) & (y == k)] for k in range(n_languages)]
+        table = np.vstack([_spherical_kmeans(p, centroids, 10, rng) for p in parts if len(p)])
+        cosine[fold == f] = (v[fold == f] @ table.T).max(axis=1)
+    for k in range(n_languages):
+        own, at = cosine[y == k], classes[y == k]
+        if len(own) < least:
+            continue
+        for c in range(n_classes):
+            far = np.abs(at - c)
+            some = own[far <= np.sort(far)[least - 1]]
+            out[k, c] = some.mean() - spread * some.std()
+    return out
+
+
+def fit(labelled: DataFrame, per_language: int = 400, centroids: int = 4, dims: int = 4096, margin: float = 0.4, most_languages: int = 1000, seed: int = 1, spread: float = 4.0, least: int = 50) -> Model:
     """Fits on ``labelled(doc_id, text, lang)``: whole texts of rows with a letter and a non-null lang, at most
-    ``per_language`` of each language (the bound of what the driver gathers: one vector each). The limit of rejection is
-    ``margin`` times the cosine to its nearest centroid that a thousandth of the sample falls below. Without rows the model
+    ``per_language`` of each language (the bound of what the driver gathers: one vector each). The limits of rejection lie
+    ``spread`` standard deviations under the mean cosine of sample texts of that language and number of terms; a language with
+    under ``least`` of them has ``margin`` times the cosine to its nearest centroid that a thousandth of the sample falls below. Without rows the model
     knows no language; of more than ``most_languages`` the most frequent are learned, which bounds the table of shares that
     is broadcast, so no text is shuffled but the sample's."""
     named = labelled.filter(F.col("lang").isNotNull())
@@ -128,7 +159,7 @@ def fit(labelled: DataFrame, per_language: int = 400, centroids: int = 4, dims:
 
     rows = sorted((r["lang"], bytes(r["counts"])) for r in sample.mapInArrow(vectors, "lang string, counts binary").collect())
     if not rows:
-        return Model([], np.ones(dims, np.float32), np.zeros((0, dims), np.float32), np.zeros(0, np.int64), 0.0)
+        return Model([], np.ones(dims, np.float32), np.zeros((0, dims), np.float32), np.zeros(0, np.int64), np.zeros((0, 1)))
     languages = sorted({lang for lang, _ in rows})
     y = np.array([languages.index(lang) for lang, _ in rows])
     x = np.stack([np.frombuffer(c, np.float32) for _, c in rows])
@@ -136,26 +167,29 @@ def fit(labelled: DataFrame, per_language: int = 400, centroids: int = 4, dims:
     v, rng = _vectors(x, idf), np.random.default_rng(seed)
     centers = [_spherical_kmeans(v[y == k], centroids, 10, rng) for k in range(len(languages))]
     table = np.vstack(centers).astype(np.float32)
-    limit = margin * float(np.quantile((v @ table.T).max(axis=1), 0.001))
-    return Model(languages, idf, table, np.repeat(np.arange(len(centers)), [len(c) for c in centers]), limit)
+    floor = margin * float(np.quantile((v @ table.T).max(axis=1), 0.001))
+    limits = _limits(v, y, _term_class(x), 2 * dims.bit_length(), centroids, spread, floor, least, seed)
+    return Model(languages, idf, table, np.repeat(np.arange(len(centers)), [len(c) for c in centers]), limits)
 
 
 def classify(texts: pa.Array, model: Model) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Language, score (the greatest cosine, 0 to 1) and rejection of each text."""
     n = len(texts)
-    best, score = np.zeros(n, np.int64), np.zeros(n)
+    best, score, limit = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
     if model.languages:
         buf, offsets = _lower(texts)
         for at in range(0, n, 256):
             to = min(at + 256, n)
             cut = offsets[at : to + 1]
-            cosine = _vectors(term_counts(buf[cut[0] : cut[-1]], cut - cut[0], model.dims), model.idf) @ model.centroids.T
+            counts = term_counts(buf[cut[0] : cut[-1]], cut - cut[0], model.dims)
+            cosine = _vectors(counts, model.idf) @ model.centroids.T
             top = cosine.argmax(axis=1)
             best[at:to], score[at:to] = model.owner[top], cosine[np.arange(to - at), top]
+            limit[at:to] = model.limits[best[at:to], _term_class(counts)]
     blank = np.array([t is None or not _LETTER.search(t) for t in texts.to_pylist()], bool)
     known = ~blank & bool(model.languages)
     score = np.where(known, np.clip(score, 0, 1), 0.0)
-    return [model.languages[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist(), strict=True)], score, ~known | (score < model.limit)
+    return [model.languages[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist(), strict=True)], score, ~known | (score < limit)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
