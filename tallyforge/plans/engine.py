@@ -67,32 +67,50 @@ def schedule_rows(grid: DataFrame, day_columns: dict[str, str], pack: Pack, name
 
 
 def person_records(records: DataFrame, schedule: DataFrame | None, pack: Pack) -> DataFrame:
-    """One row a record that names a person: record_id, table_id, template, is_hr, name, employee_id, credential_number, role, facility."""
+    """One row a record that names a person: record_id, table_id, template, is_hr, name, employee_id, credential_number,
+    credential_type, role, facility."""
     f = lambda name: F.col("fields")[name]
     full = F.coalesce(f("person.full_name"), F.concat_ws(" ", f("person.given_name"), f("person.family_name")))
-    out = records.select("record_id", "table_id", "template", (F.col("template") == "hr_roster").alias("is_hr"), full.alias("name"), f("person.employee_id").alias("employee_id"), f("credential.number").alias("credential_number"), f("person.role").alias("role"), f("person.facility").alias("facility"))
+    out = records.select("record_id", "table_id", "template", (F.col("template") == "hr_roster").alias("is_hr"), full.alias("name"), f("person.employee_id").alias("employee_id"), f("credential.number").alias("credential_number"), f("credential.type").alias("credential_type"), f("person.role").alias("role"), f("person.facility").alias("facility"))
     if schedule is not None:
         s = schedule.groupBy("record_id").agg(F.first("full_name").alias("name"), F.first("role").alias("role"), F.first("facility").alias("facility"))
-        out = out.unionByName(s.select("record_id", F.lit("schedule").alias("table_id"), F.lit("schedule").alias("template"), F.lit(False).alias("is_hr"), "name", F.lit(None).cast("string").alias("employee_id"), F.lit(None).cast("string").alias("credential_number"), "role", "facility"))
+        out = out.unionByName(s.select("record_id", F.lit("schedule").alias("table_id"), F.lit("schedule").alias("template"), F.lit(False).alias("is_hr"), "name", F.lit(None).cast("string").alias("employee_id"), F.lit(None).cast("string").alias("credential_number"), F.lit(None).cast("string").alias("credential_type"), "role", "facility"))
     return out.filter("coalesce(name, '') <> '' or employee_id is not null or credential_number is not null")
 
 
-def resolve(persons: DataFrame, pack: Pack, weights: linking.Weights = linking.Weights()) -> tuple[DataFrame, DataFrame]:
-    """(record_id, person_id) and the scored links."""
+def resolve(persons: DataFrame, pack: Pack, weights: linking.Weights = linking.Weights(), extra: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(record_id, person_id) and the scored links.
+
+    No two employee ids, name suffixes or licence numbers of one type meet in a person. A record without a full given name is
+    never linked to another such; of the groups that the others form it joins the one that leads by the guard's margin, or none.
+    ``extra`` (a, b, weight, prob, reasons) are links by people: they pass no guard, but the rules hold for them too."""
     spark = persons.sparkSession
     nick = spark.createDataFrame(list(pack.nicknames) or [("", "")], "nickname string, formal string")
     keyed = linking.person_keys(persons, "name", nick)
-    keyed = keyed.withColumns({"soundex": F.col("key.soundex"), "family3": F.substring(F.regexp_replace("key.family", "[^a-z]", ""), 1, 3), "initial": F.col("key.initial")})
-    keyed = settled(keyed)
+    keyed = keyed.withColumns({"soundex": F.col("key.soundex"), "family3": F.substring(F.regexp_replace("key.family", "[^a-z]", ""), 1, 3), "initial": F.col("key.initial"), "suffix": F.col("key.suffix")})
+    typed = F.when(F.col("credential_type").isNotNull() & F.col("credential_number").isNotNull(), F.create_map("credential_type", "credential_number"))
+    keyed = settled(keyed.withColumn("licence", typed).withColumn("_short", (F.coalesce("name", F.lit("")) != "") & F.col("key.given").isNull()))
+    facts = ["employee_id", "suffix", "licence"]
     pairs = linking.block_pairs(keyed, [list(r) for r in pack.blocking], "record_id", "table_id", split="facility")
     links = settled(linking.zones(linking.score_pairs(pairs, keyed, "record_id", weights)))
     sure = linking.key_links(keyed, "record_id", "table_id", "template", "credential_number").unionByName(linking.key_links(keyed, "record_id", "table_id", "template", "employee_id"))
     owners = keyed.filter("is_hr").select("record_id", F.coalesce("employee_id", "record_id").alias("owner"))
     strong = linking.guard_hr(links.filter("zone = 'auto'").select("a", "b", "weight", "prob", "reasons"), owners)
     used = strong.unionByName(sure)
+    full = keyed.filter("not _short")
+    for side in "ab":
+        used = used.join(keyed.select(F.col("record_id").alias(side), F.col("_short").alias(f"_{side}")), side)
+    used = settled(used.filter("not (_a and _b)"))
+    solid = linking.constrained_clusters(used.filter("not _a and not _b"), full, "record_id", facts)
+    groups = linking.person_ids(solid, full, "record_id").select("record_id", F.col("person_id").alias("owner"))
+    used = linking.guard_hr(used.select("a", "b", "weight", "prob", "reasons"), groups)
+    if extra is not None:
+        for side in "ab":
+            extra = extra.join(keyed.select(F.col("record_id").alias(side)), side, "left_semi")
+        used = used.unionByName(extra.select("a", "b", "weight", "prob", "reasons"))
     best = used.withColumn("_n", F.row_number().over(W.partitionBy("a", "b").orderBy(F.desc("prob"), F.desc("weight")))).filter("_n = 1").drop("_n")
     best = settled(best)
-    clusters = linking.constrained_clusters(best, keyed, "record_id", ["employee_id"])
+    clusters = linking.constrained_clusters(best, keyed, "record_id", facts)
     return linking.person_ids(clusters, keyed, "record_id"), best
 
 
