@@ -6,6 +6,9 @@ the ids of the whole text:
 * ``byte``: before a space that a visible character follows (byte-level BPE whose words may start with one space);
 * both: between an ASCII letter and ASCII punctuation other than an apostrophe;
 * ``word``: at ASCII white space, which belongs to no chunk (tokenizers that drop white space).
+
+The library finds a tokenizer's added tokens (such as an end-of-text mark) in a text before anything else; rows that hold one are
+encoded whole by it.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.mark = self.tokenizer.encode(_MARK.decode(), add_special_tokens=False).ids
         self.rule, self.most_ids = rule, most_ids
         self._forget()
@@ -108,8 +111,36 @@ class ChunkEncoder:
         at = np.searchsorted(self.keys, keys)
         self.keys, self.start, self.len = np.insert(self.keys, at, keys), np.insert(self.start, at, starts), np.insert(self.len, at, lens)
 
+    def _rows_with_added(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The rows that hold an added token of the tokenizer, ascending."""
+        data, found = buf.tobytes(), set()
+        for token in self.added:
+            at = data.find(token)
+            while at >= 0:
+                row = int(np.searchsorted(offsets, at, "right")) - 1
+                whole = at + len(token) <= offsets[row + 1]
+                if whole:
+                    found.add(row)
+                at = data.find(token, int(offsets[row + 1]) if whole else at + 1)
+        return np.array(sorted(found), np.int64)
+
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All rows' ids one after another, and each row's (and the end's) offset among them."""
+        """All rows' ids one after another, and each row's (and the end's) offset among them: what the library's encode gives for each
+        row's text with add_special_tokens=False."""
+        whole = self._rows_with_added(buf, offsets)
+        if not len(whole):
+            return self._encode_by_chunk(buf, offsets)
+        bytes_of, chunked = np.diff(offsets), np.ones(len(offsets) - 1, bool)
+        chunked[whole] = False
+        flat, at = self._encode_by_chunk(buf[np.repeat(chunked, bytes_of)], np.concatenate([[0], np.cumsum(bytes_of[chunked])]))
+        others = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([buf[offsets[i] : offsets[i + 1]].tobytes().decode() for i in whole.tolist()], add_special_tokens=False)]
+        lens = np.zeros(len(chunked), np.int64)
+        lens[chunked], lens[whole] = np.diff(at), [len(x) for x in others]
+        out, own = np.zeros(int(lens.sum()), np.uint32), np.repeat(chunked, lens)
+        out[own], out[~own] = flat, np.concatenate(others)
+        return out, np.concatenate([[0], np.cumsum(lens)])
+
+    def _encode_by_chunk(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts, ends, first = self._spans(buf, offsets)
         keys, some, which = np.unique(bt.span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
         if self.used > self.most_ids:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +16,12 @@ _LOCAL_DIR: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one in tests where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, the context's checkpoint folder, or with a local
+    master (tests) a temporary one. On a cluster one of the first two must be set: a machine's own folder is no use there."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _LOCAL_DIR:
             _LOCAL_DIR.append(tempfile.mkdtemp(prefix="tallyforge-"))
         path = f"file://{_LOCAL_DIR[0]}"
@@ -28,12 +32,18 @@ class Scratch:
     """A folder for the intermediate tables of one operator run.
 
     Tables are written as Parquet in the shared folder, so that a lost executor costs no recomputation of what stands
-    before them; ``drop`` deletes the ones no longer needed.
+    before them; ``drop`` deletes the ones no longer needed, and ``close`` the folder. What a lazy result still reads stays
+    until the driver's JVM ends, which deletes the folder unless ``keep`` is set (it then holds files for the caller).
     """
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, keep: bool = False):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        if not keep:
+            files.deleteOnExit(path)
 
     def table(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.path}/{name}"
@@ -46,6 +56,9 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
             path.getFileSystem(conf).delete(path, True)
 
+    def close(self) -> None:
+        self.drop("")
+
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -105,8 +118,22 @@ def text_slices(batch: pa.RecordBatch, column: str, most_bytes: int = 3 << 20) -
         at = to
 
 
-def arrow_map(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], df: DataFrame, schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+def vectors_of(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, matrix in double precision) of a list column's usable vectors, a pair for each length: neither null nor empty, no
+    component null or non-finite."""
+    if not len(column):
+        return
+    lens = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = column.flatten()
+    known = flat.is_valid().to_numpy(zero_copy_only=False)
+    x = flat.cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False)
+    at = np.cumsum(lens) - lens
+    for dim in np.unique(lens[lens > 0]).tolist():
+        rows = np.flatnonzero(lens == dim)
+        place = at[rows][:, None] + np.arange(dim)
+        m = x[place]
+        good = known[place].all(axis=1) & np.isfinite(m).all(axis=1)
+        yield rows[good], m[good]
 
 
 def key_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

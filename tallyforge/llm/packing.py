@@ -3,8 +3,10 @@
 Documents become pieces of at most ``capacity`` tokens. Each packing partition runs best-fit decreasing and compares its
 bins with a lower bound from dual-feasible functions; a partition that meets the bound is certified. Partitions with a
 gap hand over all bins that are not full, certified ones their emptiest bin (the loss of rounding up once a partition), and
-the documents handed over are packed again together, over fewer partitions, until they fit one partition or a round changes
-nothing. Only (doc_id, piece, length) rows move; texts and tokens never do.
+the documents handed over are packed again together, over fewer partitions. Rounds go on until the pieces handed over fit one
+partition, none is handed over, or a round packs them in no fewer bins than they came in; each round but the last so saves a bin.
+The same bound over all pieces (``least_sequences``) shows how far the whole packing can be from the best.
+Only (doc_id, piece, length) rows move; texts and tokens never do.
 """
 
 from __future__ import annotations
@@ -22,7 +24,11 @@ from .common import Scratch, text_slices
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     """The least number of bins that dual-feasible functions prove: rounding u(k) for k < 20, and the threshold family for every threshold."""
-    count = np.bincount(lengths, minlength=capacity + 1)[: capacity + 1].astype(np.int64)
+    return lower_bound_of_counts(np.bincount(lengths, minlength=capacity + 1)[: capacity + 1].astype(np.int64), capacity)
+
+
+def lower_bound_of_counts(count: np.ndarray, capacity: int) -> int:
+    """The same of the number of items of each length from 0 to ``capacity``."""
     x = np.arange(capacity + 1, dtype=np.int64)
     best = -(-int((count * x).sum()) // capacity)
     for k in range(1, 20):
@@ -61,7 +67,10 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def document_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 4096, rule: str = "word") -> DataFrame:
-    """Pieces of ``docs(doc_id, text)``: doc_id, piece, start, length, ids_crc32. A null text is empty: its end id alone."""
+    """Pieces of ``docs(doc_id, text)``: doc_id, piece, start, length, ids_crc32. A null text is empty: its end id alone.
+
+    Every row is a document of its own, whatever repeats; a null doc_id stays null. A text of any length is encoded whole, then
+    cut. An empty table has no pieces. Other columns are not read."""
 
     def cut(batches):
         known = encoder(tokenizer_path, rule)
@@ -82,11 +91,23 @@ def document_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(pieces: DataFrame, capacity: int = 4096, rows_per_partition: int = 50_000, rounds: int = 6) -> DataFrame:
-    """Adds sequence_id, offset, and the round's ``certified`` flag to ``pieces`` (length > 0 and <= capacity); one row each, whatever repeats."""
+def pack(pieces: DataFrame, capacity: int = 4096, rows_per_partition: int = 50_000) -> DataFrame:
+    """Adds sequence_id, offset, certified (whether its partition's bins meet the partition's bound) and least_sequences (the bound
+    over all pieces) to ``pieces`` (length > 0 and <= capacity).
+
+    One row each, whatever repeats; equal rows are dealt over all partitions by their place in the table. Columns of those four
+    names are replaced, others pass through. An empty table stays empty."""
     spark = pieces.sparkSession
-    scratch, columns = Scratch(spark, "packing"), pieces.columns
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
+    scratch = Scratch(spark, "packing")
+    pieces = pieces.drop("sequence_id", "offset", "certified", "least_sequences")
+    names = pieces.columns
+    # the place is written with the row, so a lost task deals the same rows again
+    plain = pieces.toDF(*[f"c{i}" for i in range(len(names))]).withColumn("length", F.col(f"c{names.index('length')}").cast("long"))
+    left = scratch.table("pieces", plain.withColumn("place", F.monotonically_increasing_id()))
+    columns = left.columns
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in left.schema)
+    counts = {r["length"]: r["n"] for r in left.groupBy("length").agg(F.count("*").alias("n")).collect()}  # a row for each length, so at most capacity
+    least = lower_bound_of_counts(np.array([counts.get(k, 0) for k in range(capacity + 1)], np.int64), capacity)
 
     def packed(number: int, last: bool):
         def run(batches):
@@ -109,19 +130,21 @@ def pack(pieces: DataFrame, capacity: int = 4096, rows_per_partition: int = 50_0
 
         return run
 
-    left, done = pieces, []
-    for number in range(rounds):
-        n = left.count()
-        parts = max(1, -(-n // rows_per_partition))
-        last = number == rounds - 1 or (parts == 1 and number > 0)
-        # dealt by hash, so a lost task is dealt the same rows again; rows with equal values all over go by their number
-        dealt = left.withColumn("_p", F.pmod(F.xxhash64(*columns, F.lit(number)), F.lit(parts)).cast("int")).repartitionById(parts, F.col("_p"))
-        out = scratch.table(f"round{number}", dealt.mapInArrow(packed(number, last), f"{fields}, sequence_id long, offset long, certified boolean, _moved boolean"))
-        done.append(out.filter("not _moved").drop("_moved"))
-        left = out.filter("_moved").select(*columns)
-        if last:
+    done, number, came_in = [], 0, None
+    while True:
+        parts = max(1, -(-left.count() // rows_per_partition))
+        dealt = left.withColumn("_p", F.pmod(F.xxhash64("place", F.lit(number)), F.lit(parts)).cast("int")).repartitionById(parts, F.col("_p"))
+        out = scratch.table(f"round{number}", dealt.mapInArrow(packed(number, parts == 1), f"{fields}, sequence_id long, offset long, certified boolean, _moved boolean"))
+        first = F.col("offset") == 0  # a bin has one row there
+        bins = out.agg(F.count_if(first).alias("all"), F.count_if(first & F.col("_moved")).alias("moved")).first()
+        if parts == 1 or not bins["moved"] or (came_in is not None and bins["all"] >= came_in):
+            done.append(out)
             break
+        done.append(out.filter("not _moved"))
+        left, came_in, number = out.filter("_moved").select(*columns), bins["moved"], number + 1
     result = done[0]
     for more in done[1:]:
         result = result.unionByName(more)
-    return result
+    scratch.drop("pieces")
+    kept = [F.col(f"c{i}").alias(name) for i, name in enumerate(names)]
+    return result.select(*kept, "sequence_id", "offset", "certified", F.lit(least).cast("long").alias("least_sequences"))

@@ -62,7 +62,7 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.document_pieces(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=1, capacity=4096)
-    return packing.pack(Scratch(spark, "pieces").table("pieces", pieces), capacity=4096)
+    return packing.pack(pieces, capacity=4096)
 
 
 def op9_cap_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

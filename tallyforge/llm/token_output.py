@@ -103,7 +103,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, rul
     equal ids in no fixed order unless their token ids differ; other columns are not read. An empty table has no files.
     """
     spark = docs.sparkSession
-    scratch, parts = Scratch(spark, "token-ids"), partitions or max(shuffle_partitions(spark), 1)
+    scratch, parts = Scratch(spark, "token-ids", keep=True), partitions or max(shuffle_partitions(spark), 1)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     steps = [i / parts for i in range(1, parts)] or [0.5]
     cuts = np.array(ids.agg(F.percentile_approx("doc_id", steps, 10 * parts).alias("cuts")).first()["cuts"] or [], np.int64)

@@ -132,7 +132,7 @@ def write_warc(pages: DataFrame, least_bytes: int = 1000, most_file_bytes: int =
     each the response. Other columns are not read. An empty table has no files.
     """
     spark = pages.sparkSession
-    scratch = Scratch(spark, "warc")
+    scratch = Scratch(spark, "warc", keep=True)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     digest = F.when(F.octet_length("html") >= least_bytes, F.sha1(F.col("html").cast("binary")))
     equal = rows.select("page_id", digest.alias("digest")).filter("digest is not null").groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("keep"))

@@ -12,9 +12,7 @@ from tallyforge.llm import chunk_tokens, packing, queries, token_output
 
 
 def library(name):
-    t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path(name))
 
 
 def crc(ids):
@@ -22,6 +20,7 @@ def crc(ids):
 
 
 TEXTS = ["", " ", "a  b", "\n\n x   y", "it's  we'LL  ", "é́ é   z", "tabs\tand\x0bmore\x0c!", "!!  ??", "　 a", "1234 5,678", "<|endoftext|> <|startoftext|>", "a,b.c-d'e' f's. x!'s A%%%B ,a .5a,5", "ΣΑΣ Σ İ", " ́x", "a  b", "x  b"]
+TEXTS += ["x <|endoftext|> y", "a<|endoftext|><|endoftext|>b's <|endof", "text|> <|ENDOFTEXT|>", "w <|startoftext|>7  <|endoftext|>"]
 
 
 @pytest.mark.parametrize(("name", "rule"), [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
@@ -129,6 +128,14 @@ def test_exchange_closes_gaps(spark):
     assert len({r["sequence_id"] for r in out}) <= -(-sum(n for _, n in rows) // 100) + 2
 
 
+def test_equal_rows_are_dealt_out(spark):
+    rows = spark.range(3000).selectExpr("cast(null as long) as doc_id", "10L as length", "'x' as sequence_id", "id % 2 as _p")
+    out = packing.pack(rows, capacity=100, rows_per_partition=100)
+    assert out.columns == ["doc_id", "length", "_p", "sequence_id", "offset", "certified", "least_sequences"]
+    got = out.collect()
+    assert len(got) == 3000 and len({r["sequence_id"] for r in got}) == 300 and {r["least_sequences"] for r in got} == {300}
+
+
 def test_lower_bound():
     assert packing.lower_bound(np.array([60, 60, 60]), 100) == 3
     assert packing.lower_bound(np.array([50, 50, 51]), 100) == 2
