@@ -79,7 +79,7 @@ def test_mixing(spark, world):
         got[r["source"]] += len(words(r["text"]))
         assert any((t or "") == r["text"] or words(t)[: len(words(r["text"]))] == words(r["text"]) for t in given[r["doc_id"]])
     for s, target in fill(size, (5, 2, 1), 3).items():
-        assert got[s] == pytest.approx(target, abs=2)
+        assert got[s] == pytest.approx(target, abs=4)
 
 
 def test_packing(spark, world):
