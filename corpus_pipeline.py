@@ -38,7 +38,7 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; the last pass over a source may end inside a document."""
     ship(spark)
-    return mixing.apply_mix(docs.select(COLUMNS), mixing.mix(mixing.word_sizes(docs)))
+    return mixing.mixed(docs.select(COLUMNS))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
