@@ -51,10 +51,10 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans: eight bytes at a time, and by blake2b from 64 bytes on."""
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of byte spans: eight bytes at a time, and by blake2b from 64 bytes on. Another seed gives independent hashes."""
     lens = ends - starts
-    out = mix(lens.astype(np.uint64) + _C)
+    out = mix(lens.astype(np.uint64) + (_C ^ np.uint64(seed)))
     if not len(starts):
         return out
     padded = np.concatenate([buf, np.zeros(8, np.uint8)])
@@ -76,7 +76,7 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
             out[keep_idx] = mix((out[keep_idx] ^ piece) * _C + np.uint64(k))
         sel = keep_idx
     for i in np.flatnonzero(lens > _LONG):
-        out[i] = int.from_bytes(hashlib.blake2b(buf[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+        out[i] = int.from_bytes(hashlib.blake2b(buf[starts[i] : ends[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
     return out
 
 

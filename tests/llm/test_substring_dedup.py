@@ -60,15 +60,31 @@ def test_odd(odd_docs, make_docs):
 
 def test_sketch_never_underestimates():
     rng = np.random.default_rng(1)
-    parts = []
+    total, size = Counter(), 1 << 12
+    parts, merged = [], np.zeros(2 * size, np.uint8)
     for _ in range(30):
         keys, counts = np.unique(rng.integers(0, 2**63, 200).astype(np.uint64) % np.uint64(3000) * np.uint64(0x9E3779B97F4A7C15), return_counts=True)
-        parts.append((keys, counts))
-    total = Counter()
-    for keys, counts in parts:
+        parts.append(keys)
         total.update(dict(zip(keys.tolist(), counts.tolist(), strict=True)))
-    for (keys, _), often in zip(parts, sd.repeated_in_sketch(parts), strict=True):
-        assert all(flag or total[k] < 2 for k, flag in zip(keys.tolist(), often.tolist(), strict=True))
+        sd.add_sketch(merged, *sd.partition_sketch(keys, counts, size))
+    once = 0
+    for keys in parts:
+        for k, flag in zip(keys.tolist(), sd.repeated_in_sketch(keys, merged).tolist(), strict=True):
+            assert flag or total[k] < 2
+            once += not flag
+    assert once > 100  # and it does tell keys of one document
+
+
+def test_order_of_partitions_does_not_matter():
+    rng = np.random.default_rng(2)
+    keys = np.unique(rng.integers(0, 2**63, 500).astype(np.uint64))
+    sketches = [sd.partition_sketch(np.sort(rng.choice(keys, 100, replace=False)), np.ones(100, np.int64), 256) for _ in range(8)]
+    merged = []
+    for order in (range(8), reversed(range(8))):
+        merged.append(np.zeros(512, np.uint8))
+        for k in order:
+            sd.add_sketch(merged[-1], *sketches[k])
+    assert (merged[0] == merged[1]).all()
 
 
 def test_query(spark, sf_dir):
