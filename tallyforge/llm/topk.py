@@ -5,8 +5,9 @@ matrix) and the greatest and least value of every term (dimension). For a query,
 weight times that extreme; blocks are taken in falling order of bounds, and a query stops when the next bound is below
 its k-th score. Equal bounds are still scored, as a smaller id may win a tie.
 
-Queries go in chunks to every shard of blocks; a shard's answers (k a query) are merged by rank. The starting thresholds come
-from a first pass of each query over its own nearest shard, so other shards mostly prune from the first block on.
+Blocks stand in leaves: ranges of vectors that a tree of median cuts, fitted on a bounded sample, tells apart; a leaf of many
+vectors has several shards, by hash. Each query is first searched in the leaf it would itself stand in, which gives a k-th score that its
+answer cannot be below. It is then sent only to the other leaves whose own summed extremes reach that score. Queries meet a shard in chunks.
 """
 
 from __future__ import annotations
@@ -17,27 +18,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, vectors_of
 
 NONE = -(1 << 62)
 
 
 def quantised(vectors: DataFrame, factor: int = 256) -> DataFrame:
     """(vec_id, dim, v) with v = floor(factor * x) of every component in double precision, as little-endian int64 bytes; rows without an
-    id, null vectors, empty ones, and vectors with a null or non-finite component are left out."""
+    id, null vectors, empty ones, and vectors with a null or non-finite component are left out.
+
+    Scores are 64-bit integers: a vector whose product with itself would pass 2^62 is an error that names it, as no score of it
+    could be told from a wrong one."""
 
     def floor(batches):
         for batch in batches:
-            ids, dims, raws = [], [], []
-            for vec_id, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if vec_id is None or not v.is_valid or not len(v) or v.values.null_count:
-                    continue
-                x = np.floor(factor * v.values.to_numpy().astype(np.float64))
-                if np.isfinite(x).all():
-                    ids.append(vec_id)
-                    dims.append(len(x))
-                    raws.append(x.astype("<i8").tobytes())
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(raws, pa.binary())], ["vec_id", "dim", "v"])
+            ids = batch.column(0)
+            for rows, x in vectors_of(batch.column(1)):
+                keep = ids.take(pa.array(rows)).is_valid().to_numpy(zero_copy_only=False)
+                rows = rows[keep]
+                with np.errstate(over="ignore"):
+                    x = np.floor(factor * x[keep])
+                    large = np.flatnonzero(~((x * x).sum(axis=1) < 2.0**62))
+                if len(large):
+                    raise ValueError(f"vec_id {ids[int(rows[large[0]])].as_py()}: components times {factor} are too large for 64-bit scores")
+                raw = x.astype("<i8")
+                yield pa.record_batch([ids.take(pa.array(rows)), pa.array(np.full(len(rows), x.shape[1], np.int32)), pa.array([r.tobytes() for r in raw], pa.binary())], ["vec_id", "dim", "v"])
 
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(floor, "vec_id long, dim int, v binary")
 
@@ -47,11 +52,46 @@ def _matrix(raws, dim: int) -> np.ndarray:
 
 
 def _exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """x @ y.T in 64-bit integers; through double precision where no partial sum can leave its exact range."""
+    """x @ y.T in 64-bit integers; through double precision where no partial sum can leave its exact range. Vectors as of
+    ``quantised`` have products under 2^62, but bounds may pass it: those stay at the edge, which keeps their order against scores."""
     most = float(np.abs(x).max(initial=0)) * float(np.abs(y).max(initial=0)) * x.shape[1]
     if most < 2.0**53:
         return (x.astype(np.float64) @ y.astype(np.float64).T).astype(np.int64)
-    return x @ y.T
+    if most < 2.0**62:
+        return x @ y.T
+    wide = x.astype(object) @ y.astype(object).T
+    return np.clip(wide, -(1 << 62), 1 << 62).astype(np.int64)
+
+
+def fit_tree(sample: np.ndarray, leaves: int) -> tuple[np.ndarray, np.ndarray]:
+    """(directions, cuts) of a complete tree of median cuts with ``leaves`` (a power of two) ends, in the order of a heap. Each cut is
+    along the line from the mean of its part of the sample to the farthest vector there."""
+    dim = sample.shape[1]
+    ways, cuts = np.zeros((leaves - 1, dim)), np.zeros(leaves - 1)
+    parts = {0: np.arange(len(sample))}
+    for node in range(leaves - 1):
+        part = parts.pop(node)
+        if len(part):
+            x = sample[part].astype(np.float64)
+            x = x - x.mean(axis=0)
+            ways[node] = x[np.argmax(np.abs(x).sum(axis=1))]
+            ways[node] /= max(np.linalg.norm(ways[node]), 1e-300)
+            along = sample[part].astype(np.float64) @ ways[node]
+            cuts[node] = np.median(along)
+            right = along > cuts[node]
+        else:
+            right = np.zeros(0, bool)
+        parts[2 * node + 1], parts[2 * node + 2] = part[~right], part[right]
+    return ways, cuts
+
+
+def leaf_of(v: np.ndarray, tree: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The leaf of each vector."""
+    ways, cuts = tree
+    node, x = np.zeros(len(v), np.int64), v.astype(np.float64)
+    while len(cuts) and node[0] < len(cuts):
+        node = 2 * node + 1 + (np.einsum("ij,ij->i", x, ways[node]) > cuts[node])
+    return node - len(cuts)
 
 
 def build_blocks(ids: np.ndarray, v: np.ndarray, block: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -109,34 +149,71 @@ def _top(both: np.ndarray, owner: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, block: int = 64, shard_rows: int = 8192, chunk_rows: int = 1024, scratch: Scratch | None = None) -> DataFrame:
+def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, block: int = 64, shard_rows: int = 8192, chunk_rows: int = 8192, most_leaves: int = 1024, most_sample: int = 32_768, scratch: Scratch | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of the best k candidates of each query; inputs as of ``quantised``.
 
     Ties go to the smaller vec_id. Candidates of the query's own id, or of another length, are not its candidates. Of queries
     that share an id, the one of least (length, bytes) is asked; candidates that share an id count each. With fewer than k
-    candidates there are fewer ranks; an empty side gives no rows.
+    candidates there are fewer ranks; an empty side gives no rows. The tree is fitted on about ``most_sample`` vectors of
+    a length, those of least hash, and has at most ``most_leaves`` leaves (the bounds of what is gathered and broadcast); all vectors are
+    indexed. Inputs should be written tables.
     """
-    scratch = scratch or Scratch(candidates.sparkSession, "topk")
-    queries = queries.groupBy("vec_id").agg(F.min(F.struct("dim", "v")).alias("q")).select("vec_id", "q.dim", "q.v")
+    spark = candidates.sparkSession
+    scratch = scratch or Scratch(spark, "topk")
+    queries = scratch.table("queries", queries.groupBy("vec_id").agg(F.min(F.struct("dim", "v")).alias("q")).select("vec_id", "q.dim", "q.v"))
     dims = {r["dim"]: r["n"] for r in candidates.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # a row per vector length
-    shards = {d: -(-n // shard_rows) for d, n in dims.items()}
-    asked = {r["dim"]: r["n"] for r in queries.groupBy("dim").agg(F.count("*").alias("n")).collect()}
-    chunks = {d: -(-n // chunk_rows) for d, n in asked.items()}
-    # shards and chunks by hash of the id: of even size, whatever the vectors
-    number = lambda table: F.coalesce(F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[F.col("dim")], F.lit(0)) if table else F.lit(0)
-    index = candidates.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.greatest(number(shards), F.lit(1))).cast("int"))
+    part = F.shiftrightunsigned(F.xxhash64("vec_id", F.lit(9)), 11) / F.lit(float(1 << 53))
+    trees = {}
+    for dim, n in dims.items():
+        leaves = 1
+        while leaves < most_leaves and leaves * shard_rows < n:
+            leaves *= 2
+        some = candidates.filter((F.col("dim") == dim) & (part < most_sample / n)).select("v").collect() if leaves > 1 else []
+        sample = _matrix(sorted(bytes(r["v"]) for r in some), dim)
+        trees[dim] = fit_tree(sample, leaves) if leaves > 1 else (np.zeros((0, dim)), np.zeros(0))
+    shared = spark.sparkContext.broadcast(trees)
+
+    def place(batches):
+        for batch in batches:
+            own = batch.column(1).to_numpy()
+            leaf = np.zeros(len(own), np.int32)
+            for dim in np.unique(own).tolist():
+                rows = np.flatnonzero(own == dim)
+                if dim in shared.value:
+                    leaf[rows] = leaf_of(_matrix(batch.column(2).take(pa.array(rows)).to_pylist(), dim), shared.value[dim])
+                else:
+                    leaf[rows] = -1  # no candidate has that length
+            yield pa.record_batch([*batch.columns, pa.array(leaf, pa.int32())], [*batch.schema.names, "leaf"])
+
+    placed = scratch.table("placed", candidates.select("vec_id", "dim", "v").mapInArrow(place, "vec_id long, dim int, v binary, leaf int"))
+    sizes = scratch.table("sizes", placed.groupBy("dim", "leaf").agg(F.ceil(F.count("*") / F.lit(shard_rows)).cast("int").alias("shards")))
+    index = placed.join(F.broadcast(sizes), ["dim", "leaf"]).withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("shards")).cast("int"))
 
     def blocks_of(table: pa.Table) -> pa.Table:
-        dim = table.column("dim")[0].as_py()
+        dim, leaf, shard = (table.column(c)[0].as_py() for c in ("dim", "leaf", "shard"))
         made = build_blocks(table.column("vec_id").to_numpy(), _matrix(table.column("v").to_pylist(), dim), block)
         raw = lambda x: np.ascontiguousarray(x, "<i8").tobytes()
         n = len(made)
-        return pa.table([pa.array([dim] * n, pa.int32()), pa.array([table.column("shard")[0].as_py()] * n, pa.int32()), *[pa.array([raw(b[j]) for b in made], pa.binary()) for j in range(4)]], ["dim", "shard", "ids", "forward", "high", "low"])
+        return pa.table([*[pa.array([x] * n, pa.int32()) for x in (dim, leaf, shard)], *[pa.array([raw(b[j]) for b in made], pa.binary()) for j in range(4)]], ["dim", "leaf", "shard", "ids", "forward", "high", "low"])
+
+    stored = index.select("dim", "leaf", "shard", "vec_id", "v").groupBy("dim", "leaf", "shard").applyInArrow(blocks_of, "dim int, leaf int, shard int, ids binary, forward binary, high binary, low binary")
+    stored = scratch.table("blocks", stored)
+
+    def boxes(batches):
+        """Extremes over the blocks of each leaf, of what one task reads."""
+        held = {}
+        for batch in batches:
+            for dim, leaf, high, low in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                high, low = np.frombuffer(high, "<i8"), np.frombuffer(low, "<i8")
+                a, b = held.get((dim, leaf), (high, low))
+                held[dim, leaf] = (np.maximum(a, high), np.minimum(b, low))
+        names = sorted(held)
+        yield pa.record_batch([pa.array([d for d, _ in names], pa.int32()), pa.array([x for _, x in names], pa.int32()), *[pa.array([held[x][j].tobytes() for x in names], pa.binary()) for j in range(2)]], ["dim", "leaf", "high", "low"])
 
-    stored = scratch.table("blocks", index.select("dim", "shard", "vec_id", "v").groupBy("dim", "shard").applyInArrow(blocks_of, "dim int, shard int, ids binary, forward binary, high binary, low binary"))
-    chunked = queries.withColumn("chunk", F.pmod(F.xxhash64("vec_id", F.lit(5)), F.greatest(number(chunks), F.lit(1))).cast("int")).filter(number(shards) > 0)
-    chunked = chunked.select("dim", "chunk", "vec_id", "v", number(shards).alias("shards"))
-    schema = "query_id long, vec_id long, score long"
+    merge = lambda t: pa.Table.from_batches(list(boxes(t.select(["dim", "leaf", "high", "low"]).to_batches())))
+    box_schema = "dim int, leaf int, high binary, low binary"
+    found_boxes = stored.select("dim", "leaf", "high", "low").mapInArrow(boxes, box_schema).groupBy("dim", "leaf").applyInArrow(merge, box_schema).collect()  # at most most_leaves of each length
+    bounds = spark.sparkContext.broadcast({d: tuple(np.stack([np.frombuffer(r[j], "<i8") for r in found_boxes if r["dim"] == d]) for j in (2, 3)) + (np.array([r["leaf"] for r in found_boxes if r["dim"] == d]),) for d in dims})
 
     def search(key, queries_of: pa.Table, blocks: pa.Table) -> pa.Table:
         empty = pa.table([pa.array([], pa.int64())] * 3, ["query_id", "vec_id", "score"])
@@ -149,18 +226,35 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, block: int = 64
         return pa.table([pa.array(np.repeat(q_ids, [len(s) for s, _ in found])), pa.array(np.concatenate([i for _, i in found])), pa.array(np.concatenate([s for s, _ in found]))], ["query_id", "vec_id", "score"])
 
     def asked_of(side: DataFrame) -> DataFrame:
-        """Each (chunk, shard) pair that ``side`` names, searched."""
-        pairs = side.select("dim", "chunk", "shard").distinct()
-        blocks = stored.join(pairs, ["dim", "shard"]).select(F.col("dim").alias("_d"), F.col("chunk").alias("_c"), F.col("shard").alias("_s"), "ids", "forward", "high", "low")
-        return side.groupBy("dim", "chunk", "shard").cogroup(blocks.groupBy("_d", "_c", "_s")).applyInArrow(search, schema)
-
-    # first pass: one shard for each chunk gives every query a k-th score that its answer cannot be below
-    first = chunked.withColumn("shard", F.pmod(F.col("chunk"), F.col("shards")).cast("int")).withColumn("floor", F.lit(NONE))
-    begun = scratch.table("begun", asked_of(first.drop("shards")))
-    floor = begun.groupBy(F.col("query_id").alias("_q")).agg(F.min("score").alias("least"), F.count("*").alias("n"))
-    floor = floor.select("_q", F.when(F.col("n") >= k, F.col("least")).alias("least"))
-    rest = chunked.join(floor, F.col("vec_id") == F.col("_q"), "left").withColumn("floor", F.coalesce("least", F.lit(NONE))).drop("_q", "least")
-    rest = rest.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).filter(F.col("shard") != F.pmod(F.col("chunk"), F.col("shards")))
-    found = begun.unionByName(asked_of(rest.drop("shards")))
+        """The best k of each query of ``side(dim, leaf, vec_id, v, floor)`` in each shard of its leaf, one chunk of queries and one shard a call."""
+        chunks = side.groupBy("dim", "leaf").agg(F.ceil(F.count("*") / F.lit(chunk_rows)).cast("int").alias("chunks"))
+        cut = F.broadcast(sizes.join(chunks, ["dim", "leaf"]))  # a row a leaf
+        asking = side.join(cut, ["dim", "leaf"]).withColumn("chunk", F.pmod(F.xxhash64("vec_id", F.lit(5)), F.col("chunks")).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+        asking = asking.select("dim", "leaf", "shard", "chunk", "vec_id", "v", "floor")
+        blocks = stored.join(cut, ["dim", "leaf"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        blocks = blocks.select(F.col("dim").alias("_d"), F.col("leaf").alias("_l"), F.col("shard").alias("_s"), F.col("chunk").alias("_c"), "ids", "forward", "high", "low")
+        return asking.groupBy("dim", "leaf", "shard", "chunk").cogroup(blocks.groupBy("_d", "_l", "_s", "_c")).applyInArrow(search, "query_id long, vec_id long, score long")
+
+    def reached(batches):
+        """The leaves other than its own whose summed extremes reach the query's floor."""
+        for batch in batches:
+            own = batch.column(1).to_numpy()
+            for dim in np.unique(own).tolist():
+                high, low, leaf = bounds.value[dim]
+                rows = np.flatnonzero(own == dim)
+                for at in range(0, len(rows), 1024):
+                    some = batch.take(pa.array(rows[at : at + 1024]))
+                    q = _matrix(some.column(2).to_pylist(), dim)
+                    bound = _exact(np.maximum(q, 0), high) + _exact(np.minimum(q, 0), low)
+                    go = (bound >= some.column(4).to_numpy()[:, None]) & (leaf[None, :] != some.column(3).to_numpy()[:, None])
+                    i, j = np.nonzero(go)
+                    yield pa.record_batch([pa.array(leaf[j].astype(np.int32)), *some.select([0, 1, 2, 4]).take(pa.array(i)).columns], ["leaf", "vec_id", "dim", "v", "floor"])
+
+    home = scratch.table("home", queries.mapInArrow(place, "vec_id long, dim int, v binary, leaf int").filter("leaf >= 0"))
+    begun = scratch.table("begun", asked_of(home.select("dim", "leaf", "vec_id", "v", F.lit(NONE).alias("floor"))))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    floor = begun.withColumn("r", rank).filter(F.col("r") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("least"))
+    rest = home.join(floor, "vec_id", "left").select("vec_id", "dim", "v", "leaf", F.coalesce("least", F.lit(NONE)).alias("floor"))
+    rest = scratch.table("rest", rest.mapInArrow(reached, "leaf int, vec_id long, dim int, v binary, floor long"))
+    found = begun.unionByName(asked_of(rest))
     return found.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

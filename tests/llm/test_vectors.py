@@ -2,8 +2,10 @@ import math
 import random
 
 import numpy as np
+import pytest
 
 from tallyforge.llm import cap_dedup, queries, topk
+from tallyforge.llm.common import Scratch
 from tests.llm.test_minhash import roots
 
 SCHEMA = "vec_id long, embedding array<float>, label int, dim int, key string"
@@ -75,7 +77,7 @@ def brute_top(rows, k):
 def test_top_k(spark):
     rows = odd_vectors() + [(600 + i, [0.5] * 16) for i in range(9)] + [(650, [0.5] * 16), (700, [1e6] * 16)]
     vectors = topk.quantised(table(spark, rows))
-    for sizes in ({}, {"block": 4, "shard_rows": 40, "chunk_rows": 3}):
+    for sizes in ({}, {"block": 4, "shard_rows": 40, "chunk_rows": 3}, {"shard_rows": 10, "most_leaves": 4, "most_sample": 20}):
         got = topk.top_k(vectors.filter("vec_id % 50 = 0"), vectors, k=5, **sizes).collect()
         assert sorted(tuple(r) for r in got) == brute_top(rows, 5)
     none = topk.quantised(table(spark, []))
@@ -83,6 +85,34 @@ def test_top_k(spark):
     assert topk.top_k(vectors.filter("vec_id = 508"), vectors).count() == 0
 
 
+def test_large_components(spark):
+    rows = [(0, [3e4, 1.0]), (50, [-4e4, 2e6]), (1, [1e6, -1e6]), (2, [4e6, 7.0])]
+    vectors = topk.quantised(table(spark, rows))
+    assert sorted(tuple(r) for r in topk.top_k(vectors.filter("vec_id % 50 = 0"), vectors, k=2).collect()) == brute_top(rows, 2)
+    for bad in ([1e30, 0.0], [5e307, 0.0], [3e7, 0.0]):
+        with pytest.raises(Exception, match="vec_id 9"):
+            topk.quantised(spark.createDataFrame([(9, bad)], "vec_id long, embedding array<double>")).collect()
+
+
+def test_bounds_past_64_bits():
+    x = np.array([[1 << 61, -(1 << 61)]])
+    assert topk._exact(x, np.array([[4, -4], [-4, 4], [1, 1]])).tolist() == [[1 << 62, -(1 << 62), 0]]
+
+
+def test_queries_go_only_where_they_may_find(spark):
+    """Far clusters of vectors: a query must meet few leaves, and another table five times as large moves five times as much."""
+    rng = np.random.default_rng(6)
+    met = []
+    for n in (400, 2000):
+        centers = rng.integers(-200, 200, (16, 16))
+        x = (centers[np.arange(n) % 16] + rng.integers(-3, 4, (n, 16))) / 256
+        vectors = topk.quantised(table(spark, [(i, v.tolist()) for i, v in enumerate(x)]))
+        scratch = Scratch(spark, "test")
+        topk.top_k(vectors.filter("vec_id % 5 = 0"), vectors, shard_rows=n // 16, scratch=scratch).count()
+        met.append(spark.read.parquet(f"{scratch.path}/rest").count() / (n / 5))
+    assert met[0] < 6 and met[1] < 6
+
+
 def test_blocks_prune():
     rng = np.random.default_rng(5)
     centers = rng.integers(-200, 200, (40, 16))
