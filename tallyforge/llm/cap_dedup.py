@@ -7,28 +7,47 @@ scoring all pairs. Vectors meet in the filters they share, at first as a byte a
 bounds every cosine, and only members that may have a partner come back whole. Pairs are verified then in double precision, and
 a pair is counted in the least filter that it shares.
 
-Codes grow with the number of vectors, so that a filter holds about ``bucket`` of them. Buckets emit a row per member, never
-pairs; those over ``block`` members are split into blocks that meet pairwise in tasks of their own. With 3 tables of 10
-filters over 99.9 % of pairs at the least cosine meet (50,000 vectors of 64 components).
+Codes grow with the number of vectors, so that a filter holds about ``bucket`` of them at any size. Longer codes part near vectors
+more often; as many tables are made as pairs at the least cosine itself need, by a simulation with the very code, to meet with a chance
+of 1 - ``missed``. Buckets emit a row per member, never pairs; those over ``block`` members are split into blocks that meet
+pairwise in tasks of their own.
 """
 
 from __future__ import annotations
 
 import hashlib
-from math import ceil, sqrt
+from math import ceil, log, sqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, join_with_hot_keys, key_groups, run_bounds
+from .common import Scratch, join_with_hot_keys, key_groups, run_bounds, vectors_of
 from .components import connected_components
 
 
 def code_size(n: int, filters: int, bucket: int) -> int:
     """Words of each of a table's two codes for n vectors."""
-    return min(1 << 14, max(filters, ceil(sqrt(n * filters / bucket))))
+    return max(filters, ceil(sqrt(n * filters / bucket)))
+
+
+def meeting_rate(dim: int, size: int, filters: int, cosine: float, seed: int, pairs: int = 2000) -> float:
+    """The share of random pairs at ``cosine`` itself that share a filter of one table."""
+    rng, code, met = np.random.default_rng([seed, 1]), make_code(max(dim, 16), size, seed), 0
+    for at in range(0, pairs, 100):
+        a, b = (rng.standard_normal((min(100, pairs - at), dim)) for _ in range(2))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        b -= (a * b).sum(axis=1, keepdims=True) * a
+        b /= np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-300)
+        x, y = list_decode(a, *code, filters), list_decode(cosine * a + sqrt(max(0.0, 1 - cosine**2)) * b, *code, filters)
+        met += int((x[:, :, None] == y[:, None, :]).any(axis=(1, 2)).sum())
+    return met / pairs
+
+
+def tables_needed(rate: float, missed: float) -> int:
+    """Tables that all miss a pair with a chance of at most ``missed``."""
+    return max(1, ceil(log(missed) / log(min(max(1 - rate, 1e-9), 1 - 1e-9))))
 
 
 def make_code(dim: int, size: int, seed: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -63,28 +82,28 @@ def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _clean(batches):
     for batch in batches:
-        ids, keys, dims, raws = [], [], [], []
-        for vec_id, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            key = raw = None
-            if v.is_valid and len(v) and vec_id is not None and not v.values.null_count:
-                x = v.values.to_numpy().astype(np.float64)
-                scale = np.abs(x).max()
-                if np.isfinite(x).all() and scale > 0:
-                    raw = (x / np.linalg.norm(x / scale) / scale).astype("<f8").tobytes()
-                    key = hashlib.md5(raw).hexdigest()
-            ids.append(vec_id)
-            keys.append(key)
-            dims.append(len(v) if key else 0)
-            raws.append(raw)
-        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(keys, pa.string()), pa.array(dims, pa.int32()), pa.array(raws, pa.binary())], ["vec_id", "key", "dim", "unit"])
-
-
-def near_vectors(vectors: DataFrame, cosine: float = 0.9, bucket: int = 24, tables: int = 3, filters: int = 10, block: int = 2048, seed: int = 11) -> DataFrame:
+        n = batch.num_rows
+        keys, dims, raws = [None] * n, np.zeros(n, np.int32), [None] * n
+        named = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+        for rows, x in vectors_of(batch.column(1)):
+            scale = np.abs(x).max(axis=1)
+            good = (scale > 0) & named[rows]
+            rows, x, scale = rows[good], x[good], scale[good][:, None]
+            unit = x / np.linalg.norm(x / scale, axis=1, keepdims=True) / scale
+            dims[rows] = x.shape[1]
+            for i, u in zip(rows.tolist(), unit.astype("<f8"), strict=True):
+                raws[i] = u.tobytes()
+                keys[i] = hashlib.md5(raws[i]).hexdigest()
+        yield pa.record_batch([batch.column(0), pa.array(keys, pa.string()), pa.array(dims), pa.array(raws, pa.binary())], ["vec_id", "key", "dim", "unit"])
+
+
+def near_vectors(vectors: DataFrame, cosine: float = 0.9, bucket: int = 24, missed: float = 1e-3, filters: int = 10, block: int = 2048, seed: int = 11) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of ``vectors(vec_id, embedding)``.
 
     Vectors that are null, empty, zero, or hold a null or non-finite component link with nothing, nor do those without a
     vec_id (kept, null component). Only vectors of one length are compared. Each row counts as a vector, also where ids repeat.
-    Vectors of equal direction are one node. Other columns (labels too) are not read.
+    Vectors of equal direction are one node. Other columns (labels too) are not read. An empty table stays empty. A link at the least
+    cosine itself is missed with a chance of about ``missed``, a nearer one less often; no link is made below it.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "caps")
@@ -93,6 +112,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, bucket: int = 24, tabl
     nodes = scratch.table("nodes", nodes)
     sizes = {r["dim"]: r["n"] for r in nodes.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # a row per vector length
     words = {d: code_size(n, filters, bucket) for d, n in sizes.items()}
+    tables = {d: tables_needed(meeting_rate(d, words[d], filters, cosine, seed), missed) if n > 1 else 1 for d, n in sizes.items()}
 
     def decode(batches):
         made = {}
@@ -100,10 +120,11 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, bucket: int = 24, tabl
             dims = batch.column(2).to_numpy()
             for d in np.unique(dims).tolist():
                 if d not in made:
-                    made[d] = [make_code(max(d, 16), words[d], seed + k) for k in range(tables)]
+                    made[d] = [make_code(max(d, 16), words[d], seed + k) for k in range(tables[d])]
                 part = batch.filter(pa.array(dims == d))
-                for at in range(0, part.num_rows, 512):
-                    piece = part.slice(at, 512)
+                step = max(16, min(512, (1 << 22) // words[d]))
+                for at in range(0, part.num_rows, step):
+                    piece = part.slice(at, step)
                     unit = np.frombuffer(b"".join(piece.column(3).to_pylist()), "<f8").reshape(-1, d)
                     found = np.concatenate([list_decode(unit, *code, filters) + k * words[d] ** 2 for k, code in enumerate(made[d])], axis=1)
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * found.shape[1], pa.int32()), pa.array(found.ravel()))

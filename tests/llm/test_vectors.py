@@ -64,6 +64,13 @@ def test_recall_at_the_threshold(spark):
     assert sum(got[1500 + i] == i for i in range(1500)) >= 1497
 
 
+def test_tables_grow_with_the_codes():
+    rates = [cap_dedup.meeting_rate(64, cap_dedup.code_size(n, 10, 24), 10, 0.9, 11, pairs=400) for n in (10_000, 10_000_000)]
+    assert rates[0] > rates[1] > 0.5
+    few, many = (cap_dedup.tables_needed(r, 1e-3) for r in rates)
+    assert few < many and (1 - rates[1]) ** many <= 1e-3 < (1 - rates[1]) ** (many - 1)
+
+
 def brute_top(rows, k):
     q = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in rows if valid(v)]
     out = []
