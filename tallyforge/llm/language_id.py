@@ -7,12 +7,12 @@ centroid of greatest cosine. A text is rejected if it has no letter, or if its d
 over the limit for its nearest language and its number of distinct terms. Any text comes nearer to every centroid as its terms
 grow in number, so random letters at length score above short texts of a language; among texts of as many terms they stand apart.
 
-The model is fitted on a bounded sample: at most ``per_language`` labelled documents of a language, those of least hash.
+The model is fitted on a bounded sample: at most ``per_language`` labelled documents of a language, those of least hash, and of all
+languages together at most ``most_rows`` or one of each.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,10 +22,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import Scratch, text_slices
 
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _RUN = np.zeros(256, bool)
 _RUN[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _ODD = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)]
@@ -135,21 +134,27 @@ def _limits(v: np.ndarray, y: np.ndarray, classes: np.ndarray, n_classes: int, c
     return out
 
 
-def fit(labelled: DataFrame, per_language: int = 400, centroids: int = 4, dims: int = 4096, margin: float = 0.4, most_languages: int = 1000, seed: int = 1, spread: float = 4.0, least: int = 50) -> Model:
-    """Fits on ``labelled(doc_id, text, lang)``: whole texts of rows with a letter and a non-null lang, at most
-    ``per_language`` of each language (the bound of what the driver gathers: one vector each). The limits of rejection lie
-    ``spread`` standard deviations under the mean cosine of sample texts of that language and number of terms; a language with
-    under ``least`` of them has ``margin`` times the cosine to its nearest centroid that a thousandth of the sample falls below. Without rows the model
-    knows no language; of more than ``most_languages`` the most frequent are learned, which bounds the table of shares that
-    is broadcast, so no text is shuffled but the sample's."""
-    named = labelled.filter(F.col("lang").isNotNull())
-    counts = named.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
-    share = F.least(F.lit(1.0), F.lit(3.0 * per_language) / F.col("n"))  # rows of least hash: a bounded number, in no one task
-    part = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) / F.lit(float(1 << 53))
-    near = named.select("doc_id", "lang", "text").withColumn("_h", part).join(F.broadcast(counts.withColumnRenamed("lang", "_l")), F.col("lang") == F.col("_l"))
-    near = near.filter((F.col("_h") <= share) & F.col("text").rlike(r"\p{L}"))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy("_h", "doc_id"))
-    sample = near.withColumn("_r", rank).filter(F.col("_r") <= per_language).select("lang", "text")
+def has_letter(text: str = "text") -> Column:
+    """Whether a text holds a letter (Unicode's L classes: neither digits, nor fractions, nor numerals)."""
+    return F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
+
+
+def fit(labelled: DataFrame, per_language: int = 400, centroids: int = 4, dims: int = 4096, margin: float = 0.4, most_rows: int = 100_000, seed: int = 1, spread: float = 4.0, least: int = 50) -> Model:
+    """Fits on ``labelled(doc_id, text, lang)``: whole texts of rows with a letter and a non-null lang, the ``per_language`` of least hash
+    of each language; where there are so many languages that this is over ``most_rows``, equally fewer of each, but one at least (the bound of what
+    the driver gathers: one vector each). Every language that a labelled text has is learned. Rows equal in doc_id, text and lang count
+    once. The limits of rejection lie ``spread`` standard deviations under the mean cosine of sample texts of that language and number of
+    terms; a language with under ``least`` of them has ``margin`` times the cosine to its nearest centroid that a thousandth of the
+    sample falls below. Without rows the model knows no language. No text is shuffled but the sample's."""
+    scratch = Scratch(labelled.sparkSession, "language")
+    named = labelled.filter(F.col("lang").isNotNull() & has_letter()).withColumn("_h", F.xxhash64("doc_id", "text", F.lit(seed)))
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("_h"))
+    ranked = scratch.table("ranked", named.select("lang", "_h").withColumn("_r", rank).filter(F.col("_r") <= per_language))
+    n_languages = ranked.agg(F.count_distinct("lang").alias("n")).first()["n"]
+    per = max(1, min(per_language, most_rows // max(n_languages, 1)))
+    wanted = ranked.filter(F.col("_r") <= per).select(F.col("lang").alias("_l"), F.col("_h").alias("_k")).distinct()
+    near = named.select("lang", "_h", "text").join(F.broadcast(wanted), (F.col("lang") == F.col("_l")) & (F.col("_h") == F.col("_k")))
+    sample = near.groupBy("lang", "_h").agg(F.first("text").alias("text")).select("lang", "text")
 
     def vectors(batches):
         for batch in batches:
@@ -158,6 +163,7 @@ def fit(labelled: DataFrame, per_language: int = 400, centroids: int = 4, dims:
                 yield pa.record_batch([batch.column(0), pa.array([row.tobytes() for row in found], pa.binary())], ["lang", "counts"])
 
     rows = sorted((r["lang"], bytes(r["counts"])) for r in sample.mapInArrow(vectors, "lang string, counts binary").collect())
+    scratch.close()
     if not rows:
         return Model([], np.ones(dims, np.float32), np.zeros((0, dims), np.float32), np.zeros(0, np.int64), np.zeros((0, 1)))
     languages = sorted({lang for lang, _ in rows})
@@ -172,8 +178,8 @@ def fit(labelled: DataFrame, per_language: int = 400, centroids: int = 4, dims:
     return Model(languages, idf, table, np.repeat(np.arange(len(centers)), [len(c) for c in centers]), limits)
 
 
-def classify(texts: pa.Array, model: Model) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Language, score (the greatest cosine, 0 to 1) and rejection of each text."""
+def classify(texts: pa.Array, letters: np.ndarray, model: Model) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score (the greatest cosine, 0 to 1) and rejection of each text; ``letters`` is ``has_letter`` of each."""
     n = len(texts)
     best, score, limit = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
     if model.languages:
@@ -186,8 +192,7 @@ def classify(texts: pa.Array, model: Model) -> tuple[list[str], np.ndarray, np.n
             top = cosine.argmax(axis=1)
             best[at:to], score[at:to] = model.owner[top], cosine[np.arange(to - at), top]
             limit[at:to] = model.limits[best[at:to], _term_class(counts)]
-    blank = np.array([t is None or not _LETTER.search(t) for t in texts.to_pylist()], bool)
-    known = ~blank & bool(model.languages)
+    known = letters & bool(model.languages)
     score = np.where(known, np.clip(score, 0, 1), 0.0)
     return [model.languages[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist(), strict=True)], score, ~known | (score < limit)
 
@@ -196,8 +201,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with lang_pred, score and rejected added.
 
     lang_pred is a learned language, ``und`` for a null text or one without a letter (those are rejected with score 0).
-    Only the text is looked at. Rows are judged alone: repeats, ties of doc_id and extra columns change nothing, and of equal
-    cosines the language first by name wins.
+    Only the text is looked at. Rows are judged alone: repeats, ties of doc_id and extra columns of any name change nothing, and of equal
+    cosines the language first by name wins. Texts of any length are read whole; an empty table stays empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the parameters of fit
     names = docs.columns
@@ -207,10 +212,11 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def judge(batches):
         for batch in batches:
             for rows, _, _ in text_slices(batch, f"c{at}"):
-                lang, score, rejected = classify(rows.column(at), shared.value)
-                yield pa.record_batch([*rows.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], [*rows.schema.names, "lang_pred", "score", "rejected"])
+                lang, score, rejected = classify(rows.column(at), rows.column(len(names)).to_numpy(zero_copy_only=False), shared.value)
+                yield pa.record_batch([*rows.columns[:-1], pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], [*rows.schema.names[:-1], "lang_pred", "score", "rejected"])
 
-    return docs.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(judge, f"{schema}, lang_pred string, score double, rejected boolean").toDF(*names, "lang_pred", "score", "rejected")
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))]).withColumn("letters", has_letter(f"c{at}"))
+    return plain.mapInArrow(judge, f"{schema}, lang_pred string, score double, rejected boolean").toDF(*names, "lang_pred", "score", "rejected")
 
 
 def is_held_out(doc_id: str = "doc_id") -> Column:

@@ -1,3 +1,9 @@
+import math
+import unicodedata
+from collections import Counter
+
+import pytest
+
 from tallyforge.llm import language_id as li
 from tallyforge.llm import queries
 
@@ -21,6 +27,61 @@ def test_nearest_centroid(make_docs):
     assert all(0 <= r["score"] <= 1 for r in got) and len(got) == 9
 
 
+def test_letters(make_docs):
+    model = li.fit(labelled(make_docs), per_language=20)
+    texts = ["½ ²", "①②", "Ⅷ", "٣٤", "_", "ª", "漢", "x½"]
+    got = {r["doc_id"]: r["lang_pred"] == "und" for r in li.predict(make_docs(list(enumerate(texts))), model).collect()}
+    assert [got[i] for i in range(8)] == [not any(unicodedata.category(c).startswith("L") for c in t) for t in texts]
+
+
+def naive_terms(text, dims):
+    """Counts of a text's n-grams of 1 to 4 bytes, by the definition."""
+    odd, mask = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F), (1 << 32) - 1
+    raw = (text or "").lower().encode()
+    y, inside = [32], False
+    for b in raw:
+        run = 97 <= b <= 122 or b >= 128
+        if run or inside:
+            y.append(b if run else 32)
+        inside = run
+    counts = Counter()
+    for k in range(4):
+        for i in range(len(y) - k):
+            if k == 0 and y[i] == 32:
+                continue
+            h = sum((y[i + j] + 1) * odd[j] for j in range(k + 1)) & mask
+            z = (h ^ (h >> 15) if k else h) * (0x2C1B3C6D + 2 * k) & mask
+            counts[z >> (32 - dims.bit_length() + 1)] += 1
+    return counts
+
+
+def test_against_the_definition(make_docs):
+    docs = labelled(make_docs)
+    model = li.fit(docs, per_language=1000, dims=1024, centroids=2)
+    rows = [r for r in docs.collect() if r["lang"] and r["text"] and any(c.isalpha() for c in r["text"])]
+    found = [naive_terms(r["text"], 1024) for r in rows]
+    for term in range(1024):
+        n = sum(term in c for c in found)
+        assert model.idf[term] == pytest.approx(math.log((1 + len(rows)) / (1 + n)) + 1, rel=1e-5)
+    texts = ["The dog, THE house", "die katze nicht", "les chats élégants", "zzz qqq", "a", "dog\tdog-dog 7 dog"]
+    got = {r["doc_id"]: r for r in li.predict(make_docs(list(enumerate(texts))), model).collect()}
+    for i, t in enumerate(texts):
+        v = {k: math.log(1 + n) * float(model.idf[k]) for k, n in naive_terms(t, 1024).items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        cosines = [sum(x * float(c[k]) for k, x in v.items()) / norm for c in model.centroids]
+        top = max(range(len(cosines)), key=lambda k: cosines[k])
+        assert got[i]["lang_pred"] == model.languages[model.owner[top]] and got[i]["score"] == pytest.approx(cosines[top], rel=1e-4)
+
+
+def test_many_languages(make_docs):
+    word = lambda k: chr(97 + k // 8) * 3 + chr(105 + k % 8) * 2
+    docs = make_docs([(i, f"{word(i % 60)} {word(i % 60)}s", f"l{i % 60:02d}") for i in range(240)])
+    model = li.fit(docs, per_language=4, most_rows=100)
+    assert len(model.languages) == 60
+    got = li.predict(docs, model).collect()
+    assert sum(r["lang_pred"] == r["lang"] for r in got) > 0.9 * len(got)
+
+
 def test_no_rows(make_docs):
     none = make_docs([])
     model = li.fit(none)

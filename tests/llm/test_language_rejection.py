@@ -4,6 +4,7 @@ import base64
 import random
 import string
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -32,12 +33,12 @@ def test_what_was_not_learned_is_rejected(model):
     rng = random.Random(4)
     letters = [" ".join("".join(rng.choices(string.ascii_lowercase, k=rng.randrange(2, 9))) for _ in range(n)) for n in (50, 200, 1000)]
     texts = [*OTHER.values(), *letters, base64.b64encode(rng.randbytes(3000)).decode()]
-    assert li.classify(pa.array(texts), model)[2].tolist() == [True] * len(texts)
+    assert li.classify(pa.array(texts), np.ones(len(texts), bool), model)[2].tolist() == [True] * len(texts)
 
 
 def test_held_out_texts_are_kept(docs, model):
     texts = [r["text"] for r in docs.filter(li.is_held_out()).select("text").collect()]
-    lang, score, rejected = li.classify(pa.array(texts), model)
+    lang, score, rejected = li.classify(pa.array(texts), np.ones(len(texts), bool), model)
     known = [r for name, r in zip(lang, rejected, strict=True) if name != li.UNKNOWN]
     print(sum(known), len(known))
     assert sum(known) <= 0.01 * len(known)
