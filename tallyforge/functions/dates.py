@@ -5,52 +5,68 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The formats read, in order of priority (name, guard, pattern).
-_D, _M3 = r"\d{1,2}", r"[A-Za-z]{3}"
+EXCEL = "excel"
+# The formats read, in order of priority; the last is a spreadsheet's day number.
 FORMATS = [
-    ("%Y-%m-%d", r"\d{4}-\d{1,2}-\d{1,2}", "yyyy-M-d"),
-    ("%m/%d/%Y", rf"{_D}/{_D}/\d{{4}}", "M/d/yyyy"),
-    ("%d/%m/%Y", rf"{_D}/{_D}/\d{{4}}", "d/M/yyyy"),
-    ("%m-%d-%Y", rf"{_D}-{_D}-\d{{4}}", "M-d-yyyy"),
-    ("%d-%m-%Y", rf"{_D}-{_D}-\d{{4}}", "d-M-yyyy"),
-    ("%m/%d/%y", rf"{_D}/{_D}/\d{{2}}", "M/d/yy"),
-    ("%d/%m/%y", rf"{_D}/{_D}/\d{{2}}", "d/M/yy"),
-    ("%Y/%m/%d", r"\d{4}/\d{1,2}/\d{1,2}", "yyyy/M/d"),
-    ("%d.%m.%Y", rf"{_D}\.{_D}\.\d{{4}}", "d.M.yyyy"),
-    ("%d-%b-%Y", rf"{_D}-{_M3}-\d{{4}}", "d-MMM-yyyy"),
-    ("%d %b %Y", rf"{_D} {_M3} \d{{4}}", "d MMM yyyy"),
-    ("%b %d, %Y", rf"{_M3} {_D}, \d{{4}}", "MMM d, yyyy"),
-    ("%d %B %Y", rf"{_D} [A-Za-z]{{4,9}} \d{{4}}", "d MMMM yyyy"),
-    ("%B %d, %Y", rf"[A-Za-z]{{4,9}} {_D}, \d{{4}}", "MMMM d, yyyy"),
-    ("%Y%m%d", r"\d{8}", "yyyyMMdd"),
-]
+    "%Y-%m-%d", "%m/%d/%Y", "%m/%d/%y", "%d/%m/%Y", "%d/%m/%y", "%Y/%m/%d", "%d-%b-%Y", "%d-%b-%y", "%b %d, %Y", "%m-%d-%Y", "%d-%m-%Y",
+    "%d.%m.%Y", "%B %d, %Y", "%b %d %Y", "%d %B %Y", "%d %b %Y", "%d %B, %Y", "%d %b, %Y", "%Y%m%d", EXCEL,
+]
+_PARTS = {"%Y": (r"\d{4}", "yyyy"), "%y": (r"\d{2}", "yy"), "%m": (r"\d{1,2}", "M"), "%d": (r"\d{1,2}", "d"), "%b": ("[A-Za-z]{3}", "MMM"), "%B": ("[A-Za-z]{3,9}", "MMMM")}
+
+
+def _guard_and_pattern(name: str) -> tuple[str, str]:
+    """The regular expression that a text of the format matches, and Spark's pattern; numbers without a separator have two digits."""
+    guard, pattern = name.replace(".", r"\."), name
+    for directive, (expression, letters) in _PARTS.items():
+        packed = directive in ("%m", "%d") and "%Y%m%d" in name
+        guard, pattern = guard.replace(directive, r"\d{2}" if packed else expression), pattern.replace(directive, letters * 2 if packed else letters)
+    return guard, pattern
+
+
 TWINS = {"%m/%d/%Y": "%d/%m/%Y", "%m-%d-%Y": "%d-%m-%Y", "%m/%d/%y": "%d/%m/%y"}
 EXCEL_LOW, EXCEL_HIGH = 30_000, 60_000
 
 
 def strip_time(value: Column) -> Column:
     """The text without a time of day after the date, trimmed."""
-    return F.regexp_replace(F.trim(value), r"[T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?\s*(Z|[+-]\d{2}:?\d{2})?$", "")
+    clock, zone = r"\d\d?(?::\d\d){1,2}(?:\.\d+)?", r"(?: *(?:Z|[+-]\d\d:?\d\d))?"
+    return F.regexp_replace(F.trim(value), f"(?:T| ){clock}{zone}$", "")
 
 
 def parse_format(value: Column, name: str) -> Column:
     """The date, if the text has this format and is a day of the calendar. Two-digit years from 69 on are of the last century."""
-    guard, pattern = next((g, p) for n, g, p in FORMATS if n == name)
-    text = F.initcap(strip_time(value)) if "MMM" in pattern else strip_time(value)
-    day = F.when(strip_time(value).rlike(f"^(?:{guard})$"), F.to_date(F.try_to_timestamp(text, F.lit(pattern))))
+    return _parse(strip_time(value), name)
+
+
+def _parse(text: Column, name: str) -> Column:
+    """The same of a text without a time."""
+    if name == EXCEL:
+        number = F.when(text.rlike(r"^\d{5}(\.\d+)?$"), F.floor(text.try_cast("double")).cast("int"))
+        return F.when(number.between(EXCEL_LOW, EXCEL_HIGH), F.date_add(F.lit("1899-12-30").cast("date"), number))
+    guard, pattern = _guard_and_pattern(name)
+    day = F.when(text.rlike(f"^(?:{guard})$"), F.to_date(F.try_to_timestamp(F.initcap(text) if "MMM" in pattern else text, F.lit(pattern))))
     if pattern.endswith("yy") and not pattern.endswith("yyyy"):
         day = F.when(F.year(day) >= 2069, F.add_months(day, -1200)).otherwise(day)
     return day
 
 
+def parsed_by_format(value: Column) -> Column:
+    """What each of FORMATS reads in the text, as an array: where several questions are asked of a value, it is parsed once."""
+    return F.transform(F.array(strip_time(value)), lambda text: F.array(*[_parse(text, n) for n in FORMATS]))[0]
+
+
+def of_format(parsed: Column, column_format: Column) -> Column:
+    """The item of ``parsed_by_format`` that a format's name asks for."""
+    return F.get(parsed, (F.array_position(F.array(*[F.lit(n) for n in FORMATS]), column_format) - 1).cast("int"))
+
+
 def parse_excel(value: Column) -> Column:
     """A spreadsheet's day number, 30000 to 60000 (days since 1899-12-30; a fraction is the time)."""
-    number = F.when(strip_time(value).rlike(r"^\d{5}(\.\d+)?$"), F.floor(strip_time(value).try_cast("double")).cast("int"))
-    return F.when(number.between(EXCEL_LOW, EXCEL_HIGH), F.date_add(F.lit("1899-12-30").cast("date"), number))
+    return parse_format(value, EXCEL)
 
 
 def parse_any(value: Column) -> Column:
-    return F.coalesce(*[parse_format(value, n) for n, _, _ in FORMATS], parse_excel(value))
+    return F.coalesce(*[parse_format(value, n) for n in FORMATS])
 
 
 def parse_date(value: Column, column_format: str | None = None) -> Column:
@@ -58,20 +74,34 @@ def parse_date(value: Column, column_format: str | None = None) -> Column:
     return F.coalesce(parse_format(value, column_format), parse_any(value)) if column_format else parse_any(value)
 
 
-def infer_formats(df: DataFrame, column: str, group: list[str]) -> DataFrame:
+def read_date(parsed: Column, column_format: Column) -> Column:
+    """The same of ``parsed_by_format``, with the format's name in a column."""
+    return F.coalesce(of_format(parsed, column_format), F.get(F.array_compact(parsed), F.lit(0)))
+
+
+def ambiguous_off_format(value: Column, parsed: Column, column_format: Column) -> Column:
+    """Whether a value off its column's format can be read day first and month first: two different numbers of at most 12."""
+    numbers = r"^(\d{1,2})[-/](\d{1,2})[-/]\d{2,4}"
+    first, second = (F.regexp_extract(F.trim(value), numbers, k).try_cast("int") for k in (1, 2))
+    return F.coalesce((first != second) & (F.greatest(first, second) <= 12) & of_format(parsed, column_format).isNull(), F.lit(False))
+
+
+def infer_formats(df: DataFrame, column: str, group: list[str], parsed: str | None = None) -> DataFrame:
     """group, format, n_parsed, ambiguous: the format that reads most of a column, the earlier one on ties.
 
-    Ambiguous if the day-first twin reads as many and changes a date. One aggregation over all formats; no second pass."""
-    value = F.col(column)
-    counts = [F.sum(F.when(parse_format(value, n).isNotNull(), 1).otherwise(0)).alias(f"_n{i}") for i, (n, _, _) in enumerate(FORMATS)]
-    names = [n for n, _, _ in FORMATS]
-    differs = [F.sum(F.when(parse_format(value, a) != parse_format(value, b), 1).otherwise(0)).alias(f"_d{names.index(a)}") for a, b in TWINS.items()]
+    Ambiguous if the day-first twin reads as many and changes a date. One aggregation over all formats; no second pass. ``parsed`` names a
+    column of ``parsed_by_format``, if there is one."""
+    if parsed is None:
+        df, parsed = df.withColumn("_parsed", parsed_by_format(F.col(column))), "_parsed"
+    item = lambda n: F.get(F.col(parsed), F.lit(FORMATS.index(n)))
+    counts = [F.count(item(n)).alias(f"_n{i}") for i, n in enumerate(FORMATS)]
+    differs = [F.count_if(item(a) != item(b)).alias(f"_d{FORMATS.index(a)}") for a, b in TWINS.items()]
     counted = df.groupBy(*group).agg(*counts, *differs)
-    most = F.greatest(*[F.col(f"_n{i}") for i in range(len(names))])
-    best = F.coalesce(*[F.when((F.col(f"_n{i}") == most) & (most > 0), F.lit(n)) for i, n in enumerate(names)])
+    most = F.greatest(*[F.col(f"_n{i}") for i in range(len(FORMATS))])
+    best = F.coalesce(*[F.when((F.col(f"_n{i}") == most) & (most > 0), F.lit(n)) for i, n in enumerate(FORMATS)])
     ambiguous = F.lit(False)
     for a, b in TWINS.items():
-        i, j = names.index(a), names.index(b)
+        i, j = FORMATS.index(a), FORMATS.index(b)
         ambiguous = ambiguous | ((best == a) & (F.col(f"_n{i}") == F.col(f"_n{j}")) & (F.col(f"_d{i}") > 0))
     return counted.select(*group, best.alias("format"), most.cast("long").alias("n_parsed"), F.coalesce(ambiguous, F.lit(False)).alias("ambiguous"))
 

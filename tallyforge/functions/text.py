@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .similarity import indel_ratio
+
 
 def clean(value: Column) -> Column:
     """Lower case, runs of anything but letters and digits one space."""
@@ -90,10 +93,39 @@ def shift_text(start_min: Column, end_min: Column) -> Column:
     return F.concat(clock(start_min), F.lit("-"), clock(end_min))
 
 
-def match_vocab(df: DataFrame, column: str, aliases: DataFrame, out: str = "code") -> DataFrame:
-    """The code of the alias that the cleaned text is; aliases(alias, code) are a configuration table, cleaned alike."""
-    table = aliases.select(clean(F.col("alias")).alias("_alias"), F.col("code").alias(out)).dropDuplicates(["_alias"])
-    return df.withColumn("_alias", clean(F.col(column))).join(table, "_alias", "left").drop("_alias")
+def fuzzy_code(cleaned: Column, aliases: list[tuple[str, str]], least: float = 90.0) -> Column:
+    """The code of the alias (alias, code) most like a cleaned text, if their ratio is at least ``least``; the first of equals. The aliases
+    are a pack's few; each distinct text of a batch is compared once."""
+    @F.pandas_udf("string")
+    def nearest(texts: pd.Series) -> pd.Series:
+        known: dict[str, str | None] = {}
+        for t in texts.dropna().unique():
+            best = max(((indel_ratio(t, a), -i, c) for i, (a, c) in enumerate(aliases)), default=(0.0, 0, None)) if len(t) > 1 else (0.0, 0, None)
+            known[t] = best[2] if best[0] >= least else None
+        return texts.map(known)
+
+    return nearest(cleaned)
+
+
+def match_vocab(df: DataFrame, column: str, aliases: list[tuple[str, str]], out: str = "code", least: float = 90.0) -> DataFrame:
+    """``df`` with the code of the alias that the cleaned text is, else of the one most like it, and whether it is only alike (``<out>_fuzzy``).
+
+    Texts that are no alias are compared once each, however often they occur."""
+    table: dict[str, str] = {}
+    for alias, code in aliases:
+        table.setdefault(clean_text(alias), code)
+    named = df.withColumn("_clean", clean(F.col(column)))
+    exact = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[F.col("_clean")] if table else F.lit(None).cast("string")
+    named = named.withColumn("_exact", exact)
+    other = named.filter("_exact is null and _clean is not null").select(F.col("_clean").alias("_other")).distinct()
+    other = other.withColumn("_near", fuzzy_code(F.col("_other"), list(table.items()), least)).filter("_near is not null")
+    joined = named.join(other, F.col("_exact").isNull() & (F.col("_clean") == F.col("_other")), "left")
+    return joined.withColumn(out, F.coalesce("_exact", "_near")).withColumn(f"{out}_fuzzy", F.col("_near").isNotNull()).drop("_clean", "_exact", "_other", "_near")
+
+
+def clean_text(value: str) -> str:
+    """``clean`` of a text of the configuration."""
+    return " ".join("".join(c if c.isalnum() else " " for c in value.lower()).split())
 
 
 def alias_in_text(text: Column, aliases: list[tuple[str, str]]) -> Column:

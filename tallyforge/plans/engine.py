@@ -22,38 +22,76 @@ def _in(aliases: list[tuple[str, str]], value: Column) -> Column:
     """The code of an alias; a pack's aliases are few and part of the expression."""
     table = {}
     for alias, code in aliases:
-        table.setdefault(" ".join("".join(c if c.isalnum() else " " for c in alias.lower()).split()), code)
+        table.setdefault(text.clean_text(alias), code)
     return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[text.clean(value)] if table else F.lit(None).cast("string")
 
 
-def normalise(field: Column, value: Column, pack: Pack) -> Column:
-    """A value in its field's form, as text; null where it can't be read. One expression a kind, not a field."""
+def normalise(field: Column, value: Column, pack: Pack, day: Column | None = None) -> Column:
+    """A value in its field's form, as text; null where it can't be read. One expression a kind, not a field. ``day``: the date that its
+    column's format gives."""
     out = F.trim(value)
     of = lambda kind: [f.name for f in pack.fields.values() if f.kind == kind] or [""]
-    by = F.when(field.isin(*of("date")), dates.parse_any(out).cast("string")).when(field.isin(*of("number")), text.parse_number(out).cast("string")).when(field.isin(*of("phone")), text.normalize_phone(out))
+    by = F.when(field.isin(*of("date")), (dates.parse_any(out) if day is None else day).cast("string")).when(field.isin(*of("number")), text.parse_number(out).cast("string")).when(field.isin(*of("phone")), text.normalize_phone(out))
     for vocab in pack.vocab:
         by = by.when(field.isin(*([f.name for f in pack.fields.values() if f.vocab == vocab] or [""])), _in(pack.aliases(vocab), out))
     by = by.when(field == "credential.number", text.canonical_license(out)).when(field == "person.employee_id", text.employee_id(out))
     return by.otherwise(F.when(out != "", out))
 
 
+def _fuzzy_codes(long: DataFrame, pack: Pack) -> DataFrame:
+    """(field, text, near): the code of the vocabulary's alias most like a value that is none, each distinct value once."""
+    out = None
+    for vocab in pack.vocab:
+        names = [f.name for f in pack.fields.values() if f.vocab == vocab]
+        if not names:
+            continue
+        unread = long.filter(F.col("field").isin(*names) & F.col("form").isNull() & (F.trim("value") != "")).select("field", text.clean(F.col("value")).alias("text")).distinct()
+        aliases: dict[str, str] = {}
+        for alias, code in pack.aliases(vocab):
+            aliases.setdefault(text.clean_text(alias), code)
+        found = unread.withColumn("near", text.fuzzy_code(F.col("text"), list(aliases.items()))).filter("near is not null")
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else long.sparkSession.createDataFrame([], "field string, text string, near string")
+
+
 def silver(spark: SparkSession, cells: DataFrame, maps: list[tuple[str, list[str], Mapping, str]], pack: Pack) -> DataFrame:
     """record_id, table_id, template, file_name, src_row, fields (map), parse_issues: the rows of mapped tables, normalised.
 
-    Works on the long cell table, so tables of all shapes are one job; a value that can't be read is an issue 'kind:field=text'."""
-    rows = [(t, m.template, c, f) for t, _, m, status in maps if m.template and status in ("mapped", "contract") for c, f in m.columns.items()]
+    Works on the long cell table, so tables of all shapes are one job. A date column is read by the format that reads most of it. Issues:
+    'kind:field=text' for what can't be read, 'ambiguous_date:field' for a value off its column's format that reads both ways (and, on a table's
+    first row, for a column that does), 'fuzzy_vocab:field=text' for a word only like an alias, 'row_incomplete:fields' for
+    what the template needs, of the fields that the table has; of its groups one must be whole."""
+    rows, needs = [], []
+    for table_id, _, m, status in maps:
+        if m.template and status in ("mapped", "contract"):
+            rows += [(table_id, m.template, c, f) for c, f in m.columns.items()]
+            template, held = next(t for t in pack.templates if t.name == m.template), set(m.columns.values())
+            needs.append((table_id, [f for f in template.required if f in held], [list(g) for g in template.one_of if set(g) <= held]))
     names = spark.createDataFrame(rows, "table_id string, template string, col_name string, field string")
-    long = cells.join(names, ["table_id", "col_name"]).withColumn("form", normalise(F.col("field"), F.col("value"), pack))
+    needed = spark.createDataFrame(needs, "table_id string, required array<string>, groups array<array<string>>")  # a row a table
     kind = F.create_map(*[F.lit(x) for f in pack.fields.values() for x in (f.name, f.kind)])[F.col("field")]
-    bad = F.when(F.col("form").isNull() & (F.trim("value") != ""), F.concat(kind, F.lit(":"), F.col("field"), F.lit("="), F.col("value")))
+    long = cells.join(names, ["table_id", "col_name"]).withColumn("kind", kind)
+    long = long.withColumn("parsed", F.when(F.col("kind") == "date", dates.parsed_by_format(F.col("value"))))
+    formats = dates.infer_formats(long.filter("kind = 'date'"), "value", ["table_id", "col_name"], "parsed").select("table_id", "col_name", "format", "ambiguous")
+    long = long.join(formats, ["table_id", "col_name"], "left").withColumn("form", normalise(F.col("field"), F.col("value"), pack, dates.read_date(F.col("parsed"), F.col("format"))))
+    near = _fuzzy_codes(long, pack).withColumnRenamed("field", "_f")
+    long = long.join(near, F.col("form").isNull() & (F.col("field") == F.col("_f")) & (text.clean(F.col("value")) == F.col("text")), "left").drop("_f", "text")
+    long = long.withColumn("form", F.coalesce("form", "near"))
+    of = lambda name: F.concat(F.lit(f"{name}:"), F.col("field"), F.lit("="), F.col("value"))
+    first = F.col("src_row") == F.min("src_row").over(W.partitionBy("table_id", "col_name"))
+    found = F.array_compact(F.array(
+        F.when(F.col("form").isNull() & (F.trim("value") != ""), F.concat("kind", F.lit(":"), "field", F.lit("="), "value")),
+        F.when(F.col("near").isNotNull(), of("fuzzy_vocab")),
+        F.when((F.col("kind") == "date") & F.col("form").isNotNull() & (dates.ambiguous_off_format(F.col("value"), F.col("parsed"), F.col("format")) | (F.col("ambiguous") & first)), F.concat(F.lit("ambiguous_date:"), F.col("field"))),
+    ))
     good = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("form").isNotNull(), F.struct("field", "form")))))
-    out = long.withColumn("bad", bad).groupBy("table_id", "template", "file_name", "src_row").agg(good.alias("fields"), F.array_sort(F.collect_list("bad")).alias("parse_issues"))
-    needed = F.lit(None).cast("array<string>")
-    for t in pack.templates:
-        missing = F.array_except(F.array(*[F.lit(f) for f in t.required]), F.map_keys("fields"))
-        needed = F.when(F.col("template") == t.name, missing).otherwise(needed)
-    issues = F.when(F.size(needed) > 0, F.array_append("parse_issues", F.concat(F.lit("row_incomplete:"), F.array_join(needed, ",")))).otherwise(F.col("parse_issues"))
-    return out.withColumn("parse_issues", issues).select(F.concat(F.lit("R-"), F.substring(F.sha1(F.concat_ws("|", "table_id", "src_row")), 1, 12)).alias("record_id"), "*")
+    out = long.withColumn("found", found).groupBy("table_id", "template", "file_name", "src_row").agg(good.alias("fields"), F.array_sort(F.flatten(F.collect_list("found"))).alias("parse_issues"))
+    out = out.join(needed, "table_id")
+    whole = (F.size("groups") == 0) | F.exists("groups", lambda g: F.size(F.array_except(g, F.map_keys("fields"))) == 0)
+    lacking = F.concat(F.array_except("required", F.map_keys("fields")), F.when(whole, F.array().cast("array<string>")).otherwise(F.array_except(F.get("groups", F.lit(0)), F.map_keys("fields"))))
+    issues = F.when(F.size(lacking) > 0, F.array_append("parse_issues", F.concat(F.lit("row_incomplete:"), F.array_join(lacking, ",")))).otherwise(F.col("parse_issues"))
+    out = out.withColumn("parse_issues", issues).drop("required", "groups")
+    return out.select(F.concat(F.lit("R-"), F.substring(F.sha1(F.concat_ws("|", "table_id", "src_row")), 1, 12)).alias("record_id"), "*")
 
 
 def schedule_rows(grid: DataFrame, day_columns: dict[str, str], pack: Pack, name: str = "Staff", role: str = "Role", facility: str = "title") -> DataFrame:

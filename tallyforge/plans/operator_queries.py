@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 from tallyforge.functions import dates, similarity, text
 from tallyforge.operators import checks, graph, intervals, issues, linking, ranking, reshape
 
+from tallyforge.operators.matching import Mapping
+
+from . import engine, serving
 from .check_queries import SETTINGS
-from .sample_views import duckdb_views, spark_views
+from .pack import STAFFING, Field, Pack, Template
+from .sample_views import bound_sql, duckdb_views, spark_views
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -301,12 +305,26 @@ def shift_token(spark, sf_dir):
 ALIASES = [("RN", "r.n."), ("RN", "registered nurse"), ("LPN", "LVN"), ("CNA", "nurse aide")]
 
 
-@query("""SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'RN' WHEN 1 THEN 'RN' WHEN 2 THEN 'LPN' WHEN 3 THEN 'CNA' END AS code FROM customer""")
+@query("""SELECT c_custkey, CASE c_custkey % 9 WHEN 0 THEN 'RN' WHEN 1 THEN 'RN' WHEN 2 THEN 'LPN' WHEN 3 THEN 'CNA' WHEN 5 THEN 'RN' WHEN 6 THEN 'CNA' WHEN 7 THEN 'RN' END AS code, c_custkey % 9 IN (5, 6, 7) AS code_fuzzy FROM customer""")
 def vocab_match(spark, sf_dir):
-    forms = F.array(*[F.lit(x) for x in ("R.N.", "Registered  Nurse", "lvn", "NURSE-AIDE", "banana")])
-    aliases = spark.createDataFrame([(a, c) for c, a in ALIASES], "alias string, code string")
-    c = table(spark, sf_dir, "customer").select("c_custkey", F.element_at(forms, (F.col("c_custkey") % 5 + 1).cast("int")).alias("title"))
-    return text.match_vocab(c, "title", aliases).select("c_custkey", "code")
+    """Aliases, near misses of at least nine tenths, and what is neither (two typing errors in ten letters are too many)."""
+    forms = F.array(*[F.lit(x) for x in ("R.N.", "Registered  Nurse", "lvn", "NURSE-AIDE", "banana", "Registerd Nurse", "nurse aid", "Regstered Nurse.", "norse aade")])
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.element_at(forms, (F.col("c_custkey") % 9 + 1).cast("int")).alias("title"))
+    return text.match_vocab(c, "title", [(a, c) for c, a in ALIASES]).select("c_custkey", "code", "code_fuzzy")
+
+
+_PERSONS = [
+    ("Łukasz Strauß", "strauss", "lukasz", "l", None), ("BELL JR, MARCUS T", "bell", "marcus", "m", "jr"), ("Al Smith", "smith", "al", "a", None), ("Maria de la Cruz", "de la cruz", "maria", "m", None),
+    ("Dr. M. Øster (night)", "oster", None, "m", None), ("Jr", "jr", None, None, None), ("Zoë Washington- Greene III", "washington-greene", "zoe", "z", "iii"), ("O’Hara, Ana [temp] Lee", "o'hara", "ana", "a", None),
+]
+
+
+@query("SELECT c_custkey, p.family, p.given, p.initial, p.suffix FROM (SELECT c_custkey, [" + ", ".join("{'family': %s, 'given': %s, 'initial': %s, 'suffix': %s}" % tuple("NULL" if x is None else "'" + x.replace("'", "''") + "'" for x in r[1:]) for r in _PERSONS) + "][CAST(c_custkey % 8 AS INTEGER) + 1] AS p FROM customer)")
+def person_names(spark, sf_dir):
+    """Names with letters to fold, notes, particles, suffixes and titles, in either order."""
+    name = F.element_at(F.array(*[F.lit(r[0]) for r in _PERSONS]), (F.col("c_custkey") % 8 + 1).cast("int"))
+    keyed = linking.person_keys(table(spark, sf_dir, "customer").select("c_custkey", name.alias("name")), "name")
+    return keyed.select("c_custkey", "key.family", "key.given", "key.initial", "key.suffix")
 
 
 @query("""
@@ -330,6 +348,97 @@ def week_and_band(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", iso(dates.week_bounds(day)[0]).alias("monday"), dates.days_left_band(F.datediff(day, F.lit(SETTINGS.as_of))).alias("band"))
 
 
+ROSTER = Pack(
+    fields={"person.employee_id": Field("person.employee_id"), "person.hire_date": Field("person.hire_date", "date"), "person.role": Field("person.role", "vocab", vocab="roles")},
+    templates=(Template("roster", required=("person.employee_id", "person.hire_date"), optional=("person.role",)),),
+    vocab={"roles": {"RN": ("registered nurse",), "CNA": ("nurse aide",)}},
+)
+
+
+@query("""
+    WITH t AS (SELECT *, o_custkey % 3 AS t, CAST(o_orderdate AS DATE) AS d, o_orderkey % 10 = 3 AND o_custkey % 3 = 1 AS off, o_orderkey % 25 = 7 AS bad FROM orders),
+    i AS (SELECT *, off AND NOT bad AND day(d) <= 12 AND day(d) <> month(d) AS twice FROM t)
+    SELECT concat('T', CAST(t AS VARCHAR)) AS table_id, o_orderkey AS src_row, CASE WHEN NOT bad THEN CAST(d AS VARCHAR) END AS hire_date, CASE o_orderkey % 4 WHEN 0 THEN 'RN' WHEN 1 THEN 'RN' WHEN 2 THEN 'CNA' END AS role,
+        concat_ws(' | ', CASE WHEN twice THEN 'ambiguous_date:person.hire_date' END, CASE WHEN bad THEN 'date:person.hire_date=n/a' END, CASE o_orderkey % 4 WHEN 1 THEN 'fuzzy_vocab:person.role=Registerd Nurse' WHEN 3 THEN 'vocab:person.role=clerk' END,
+            CASE WHEN bad THEN 'row_incomplete:person.hire_date' END) AS issues
+    FROM i""")
+def silver_columns(spark, sf_dir):
+    """Cells of three tables to silver records: a day-first, an ISO (some values month first) and a month-first column, alias and near alias."""
+    d, k, t = F.col("o_orderdate"), F.col("o_orderkey"), F.col("o_custkey") % 3
+    us = F.date_format(d, "MM/dd/yyyy")
+    day = F.when(k % 25 == 7, "n/a").when((k % 10 == 3) & (t == 1), us).when(t == 0, F.date_format(d, "dd/MM/yyyy")).when(t == 1, F.date_format(d, "yyyy-MM-dd")).otherwise(us)
+    role = F.element_at(F.array(*[F.lit(x) for x in ("RN", "Registerd Nurse", "Nurse Aide", "clerk")]), (k % 4 + 1).cast("int"))
+    cells = F.array(*[F.struct(F.lit(n).alias("col_name"), v.cast("string").alias("value")) for n, v in (("id", k), ("hired", day), ("title", role))])
+    rows = table(spark, sf_dir, "orders").select(F.concat(F.lit("T"), t.cast("string")).alias("table_id"), F.lit("f").alias("file_name"), k.alias("src_row"), F.explode(cells).alias("c")).select("table_id", "file_name", "src_row", "c.*")
+    maps = [(f"T{i}", ["id", "hired", "title"], Mapping("roster", 1.0, {"id": "person.employee_id", "hired": "person.hire_date", "title": "person.role"}, 1.0), "mapped") for i in range(3)]
+    out = engine.silver(spark, rows, maps, ROSTER)
+    return out.select("table_id", "src_row", F.col("fields")["person.hire_date"].alias("hire_date"), F.col("fields")["person.role"].alias("role"), F.array_join("parse_issues", " | ").alias("issues"))
+
+
+# --- exports and serving ----------------------------------------------------------------------------------------------
+
+
+@query(f"""{duckdb_views("shifts", "pay_periods", "persons")},
+    t AS (SELECT p.pay_id, p.person_id, p.facility_id, period_start, period_end, hours_paid, coalesce(sum(hours), 0) AS scheduled FROM pay_periods p
+        LEFT JOIN shifts s ON p.person_id = s.person_id AND p.facility_id IS NOT DISTINCT FROM s.facility_id AND work_date BETWEEN period_start AND period_end GROUP BY ALL),
+    d AS (SELECT person_id, facility_id, CAST(dd AS DATE) AS day, sum((epoch_us(least(end_ts, dd + INTERVAL 1 DAY)) - epoch_us(greatest(start_ts, dd))) / 3600000000.0) AS hours, min(role) AS role
+        FROM (SELECT *, unnest(generate_series(date_trunc('day', start_ts), date_trunc('day', end_ts - INTERVAL 1 MICROSECOND), INTERVAL 1 DAY)) AS dd FROM shifts) GROUP BY person_id, facility_id, dd),
+    x AS (SELECT d.*, l.pay_id, l.hours_paid, l.scheduled FROM d LEFT JOIN LATERAL (SELECT * FROM t WHERE t.person_id = d.person_id AND d.day BETWEEN t.period_start AND t.period_end
+        ORDER BY coalesce(t.facility_id = d.facility_id, FALSE) DESC, t.period_start, t.pay_id LIMIT 1) l ON TRUE),
+    n AS (SELECT employee_id, x.person_id, CAST(day AS VARCHAR) AS work_date, round(hours, 2) AS hours, CASE x.role WHEN 'RN' THEN 7 WHEN 'LPN' THEN 9 WHEN 'CNA' THEN 10 END AS job_code, facility_id,
+        CASE WHEN NOT coalesce(has_hr, FALSE) THEN 'not on the roster' WHEN x.role IS NULL THEN 'no job code' WHEN pay_id IS NULL THEN 'no payroll for this day'
+            WHEN abs(hours_paid - scheduled) > greatest(2.0, 0.05 * hours_paid) THEN 'paid' END AS note FROM x LEFT JOIN persons p ON p.person_id = x.person_id)
+    SELECT *, CASE WHEN note IS NULL THEN 'ready' ELSE 'needs_signoff' END AS status FROM n""")
+def pbj_export(spark, sf_dir):
+    """The staffing export over all shifts; of a note on hours only its first word is compared."""
+    out = engine.pbj(spark_views(spark, sf_dir), STAFFING, SETTINGS)
+    return out.withColumn("work_date", iso("work_date")).withColumn("note", F.when(F.col("note").startswith("paid"), "paid").otherwise(F.col("note")))
+
+
+_ISSUES = """SELECT concat('I', CAST(o_orderkey AS STRING)) AS fingerprint, concat('C', CAST(o_custkey % 7 AS STRING)) AS check_id, CASE o_orderkey % 5 WHEN 0 THEN 'CRITICAL' WHEN 1 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' WHEN 3 THEN 'LOW' ELSE 'INFO' END AS severity,
+    CASE WHEN o_orderstatus = 'F' THEN 'open' ELSE 'accepted' END AS status, o_orderkey % 6 <> 0 AS active, concat('P-', CAST(o_custkey AS STRING)) AS person, o_orderpriority AS message FROM orders"""
+
+
+def _issues(spark, sf_dir) -> DataFrame:
+    rows = bound_sql(spark, sf_dir, _ISSUES)
+    return rows.withColumns({"entity_ids": F.array("person", F.concat(F.lit("C-"), "fingerprint")), "evidence_text": F.array(F.concat(F.lit("orders: "), "fingerprint"), F.lit("note"))})
+
+
+@query(f"""SELECT CAST(row_number() OVER (ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 3 ELSE 4 END, check_id, fingerprint) AS BIGINT) AS line,
+    concat_ws(',', fingerprint, check_id, severity, status, message, concat(person, '; C-', fingerprint), concat('orders: ', fingerprint, ' | note')) AS row FROM ({_ISSUES}) WHERE active""")
+def issues_export(spark, sf_dir):
+    """The issues file, line by line in its order; lines are numbered by range, so no task holds them all."""
+    out = issues.issues_csv(_issues(spark, sf_dir))
+    numbered = out.withColumn("at", F.monotonically_increasing_id())
+    numbered = graph.settled(numbered)
+    sizes = [(r["p"], r["n"]) for r in numbered.groupBy(F.shiftright("at", 33).alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect()]
+    base = spark.createDataFrame([(p, sum(n for q, n in sizes if q < p)) for p, _ in sizes] or [(0, 0)], "p long, before long")
+    line = numbered.withColumn("p", F.shiftright("at", 33)).join(F.broadcast(base), "p").withColumn("line", F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
+    return line.select("line", F.concat_ws(",", "fingerprint", "check_id", "severity", "status", "message", "entities", "evidence").alias("row"))
+
+
+@query(f"""SELECT severity, status, count(*) AS n FROM ({_ISSUES}) WHERE active GROUP BY ALL""")
+def issue_summary(spark, sf_dir):
+    return serving.summary(_issues(spark, sf_dir))
+
+
+@query(f"""SELECT i.fingerprint, i.severity, c_name AS display_name FROM ({_ISSUES}) i LEFT JOIN customer ON concat('P-', CAST(c_custkey AS VARCHAR)) = i.person WHERE active AND status = 'open'""")
+def issue_listing(spark, sf_dir):
+    people = table(spark, sf_dir, "customer").select(F.concat(F.lit("P-"), F.col("c_custkey").cast("string")).alias("person_id"), F.col("c_name").alias("display_name"))
+    return serving.issue_list(_issues(spark, sf_dir), people, status="open").select("fingerprint", "severity", "display_name")
+
+
+@query(f"""{duckdb_views("shifts", "persons")},
+    a AS (SELECT 'FAC-MISMATCH' AS check_id, person_id AS entities, string_agg(concat('shifts:', shift_id), ' ' ORDER BY work_date, shift_id) AS evidence FROM shifts JOIN persons USING (person_id) WHERE facility_id <> home_facility GROUP BY person_id, facility_id),
+    b AS (SELECT 'HRS-DAILY-EXCESS' AS check_id, person_id AS entities, string_agg(concat('shifts:', shift_id), ' ' ORDER BY shift_id) AS evidence FROM shifts GROUP BY person_id, work_date HAVING sum(hours) > 16),
+    c AS (SELECT 'SHIFT-OVERLAP' AS check_id, a.person_id AS entities, concat('shifts:', a.shift_id, ' shifts:', b.shift_id) AS evidence FROM shifts a JOIN shifts b ON a.person_id = b.person_id AND a.shift_id < b.shift_id AND a.start_ts < b.end_ts AND b.start_ts < a.end_ts)
+    SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c""")
+def check_evidence(spark, sf_dir):
+    """The rows that three of the checks name for each of their findings."""
+    found = checks.run_checks(spark_views(spark, sf_dir), SETTINGS, only=["FAC-MISMATCH", "HRS-DAILY-EXCESS", "SHIFT-OVERLAP"])
+    return found.select("check_id", F.array_join("entity_ids", ",").alias("entities"), F.array_join("evidence", " ").alias("evidence"))
+
+
 # --- linking ----------------------------------------------------------------------------------------------------------
 
 
@@ -363,17 +472,12 @@ def pair_score(spark, sf_dir):
 
 
 @query("""
-    WITH RECURSIVE l AS (SELECT l_orderkey * 10 AS a, l_partkey * 10 + 1 AS b FROM lineitem WHERE l_partkey % 40 = 0 AND l_orderkey % 5 = 0), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
-    r AS (SELECT a AS node, a AS o FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.o = e.a)
-    SELECT CAST(node AS VARCHAR) AS node, min(CAST(o AS VARCHAR)) AS component FROM r GROUP BY node""")
+    WITH RECURSIVE l AS (SELECT CAST(l_orderkey * 10 AS VARCHAR) AS a, CAST(l_partkey * 10 + 1 AS VARCHAR) AS b FROM lineitem), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+    r(node, component) USING KEY (node) AS (
+        SELECT a, least(a, min(b)) FROM e GROUP BY a
+        UNION SELECT e.b, min(r.component) FROM r JOIN e ON e.a = r.node JOIN recurring.r AS k ON k.node = e.b WHERE r.component < k.component GROUP BY e.b)
+    SELECT node, component FROM r""")
 def components(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").filter("l_partkey % 40 = 0 and l_orderkey % 5 = 0")
-    return graph.components(li.select((F.col("l_orderkey") * 10).alias("a"), (F.col("l_partkey") * 10 + 1).alias("b")))
-
-
-@query()
-def components_whole(spark, sf_dir):
-    """``components`` reads the sample that its recursive SQL can follow; this one links all of lineitem."""
     return graph.components(table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10).alias("a"), (F.col("l_partkey") * 10 + 1).alias("b")))
 
 
@@ -385,29 +489,17 @@ def constrained_clusters(spark, sf_dir):
     return linking.constrained_clusters(links, nodes, "id", ["fact"])
 
 
-@query()
-def soundex_block(spark, sf_dir):
-    keyed = linking.person_keys(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_name")
-    return keyed.groupBy("key.soundex").agg(F.count("*").alias("n"))
-
-
-# --- issues -----------------------------------------------------------------------------------------------------------
+_SOUNDS = [("Robert", "R163"), ("Rupert", "R163"), ("Rubin", "R150"), ("Ashcraft", "A261"), ("Tymczak", "T522"), ("Pfister", "P236"), ("Honeyman", "H555"), ("Lee", "L000")]
 
-_FOUND = """SELECT concat(event_type, '-', CAST(user_id AS STRING)) AS fingerprint, event_type AS check_id, CASE WHEN max(value) > 80 THEN 'HIGH' ELSE 'LOW' END AS severity, CAST(count(*) AS STRING) AS message FROM events WHERE {half} GROUP BY event_type, user_id"""
 
+@query("SELECT c_custkey, [" + ", ".join(f"'{s}'" for _, s in _SOUNDS) + "][CAST(c_custkey % 8 AS INTEGER) + 1] AS soundex FROM customer")
+def soundex_block(spark, sf_dir):
+    name = F.concat(F.lit("Ann "), F.element_at(F.array(*[F.lit(n) for n, _ in _SOUNDS]), (F.col("c_custkey") % 8 + 1).cast("int")))
+    keyed = linking.person_keys(table(spark, sf_dir, "customer").select("c_custkey", name.alias("name")), "name")
+    return keyed.select("c_custkey", "key.soundex")
 
-@query(f"""
-    WITH k AS ({_FOUND.format(half="event_id % 4 = 0")}), f AS ({_FOUND.format(half="event_id % 7 = 1")})
-    SELECT coalesce(f.fingerprint, k.fingerprint) AS fingerprint, coalesce(f.check_id, k.check_id) AS check_id, coalesce(f.severity, k.severity) AS severity, coalesce(f.message, k.message) AS message,
-        CASE WHEN k.fingerprint IS NOT NULL THEN 'accepted' ELSE 'open' END AS status, CASE WHEN k.fingerprint IS NOT NULL THEN 'ann' END AS owner, NULL AS note,
-        CASE WHEN k.fingerprint IS NOT NULL THEN 'r1' ELSE 'r2' END AS first_seen_run, CASE WHEN f.fingerprint IS NOT NULL THEN 'r2' ELSE 'r1' END AS last_seen_run, f.fingerprint IS NOT NULL AS active
-    FROM k FULL JOIN f ON k.fingerprint = f.fingerprint""")
-def issue_merge(spark, sf_dir):
-    table(spark, sf_dir, "events").createOrReplaceTempView("events")
-    known = spark.sql(_FOUND.format(half="event_id % 4 = 0")).select("*", F.lit("accepted").alias("status"), F.lit("ann").alias("owner"), F.lit(None).cast("string").alias("note"), F.lit("r1").alias("first_seen_run"), F.lit("r1").alias("last_seen_run"), F.lit(True).alias("active"))
-    found = spark.sql(_FOUND.format(half="event_id % 7 = 1")).withColumn("seq", F.lit(1))
-    return issues.merge_issues(known, found, "r2")
 
+# --- issues -----------------------------------------------------------------------------------------------------------
 
 # Run 1 has the events to January 20, run 2 those from January 11: together all. Findings by hour of day are met in one run or both.
 _RUNS = {"known": "CAST(ts AS DATE) < DATE '2024-01-21'", "found": "CAST(ts AS DATE) >= DATE '2024-01-11'"}
@@ -420,28 +512,18 @@ _FOUND_BY_HOUR = """SELECT concat(event_type, '-', CAST(user_id AS STRING), '-',
         CASE WHEN k.fingerprint IS NOT NULL THEN 'accepted' ELSE 'open' END AS status, CASE WHEN k.fingerprint IS NOT NULL THEN 'ann' END AS owner, NULL AS note,
         CASE WHEN k.fingerprint IS NOT NULL THEN 'r1' ELSE 'r2' END AS first_seen_run, CASE WHEN f.fingerprint IS NOT NULL THEN 'r2' ELSE 'r1' END AS last_seen_run, f.fingerprint IS NOT NULL AS active
     FROM k FULL JOIN f ON k.fingerprint = f.fingerprint""")
-def issue_merge_whole(spark, sf_dir):
-    table(spark, sf_dir, "events").createOrReplaceTempView("events")
-    known = spark.sql(_FOUND_BY_HOUR.format(run=_RUNS["known"])).select("*", F.lit("accepted").alias("status"), F.lit("ann").alias("owner"), F.lit(None).cast("string").alias("note"), F.lit("r1").alias("first_seen_run"), F.lit("r1").alias("last_seen_run"), F.lit(True).alias("active"))
-    found = spark.sql(_FOUND_BY_HOUR.format(run=_RUNS["found"])).withColumn("seq", F.lit(1))
+def issue_merge(spark, sf_dir):
+    known = bound_sql(spark, sf_dir, _FOUND_BY_HOUR.format(run=_RUNS["known"])).select("*", F.lit("accepted").alias("status"), F.lit("ann").alias("owner"), F.lit(None).cast("string").alias("note"), F.lit("r1").alias("first_seen_run"), F.lit("r1").alias("last_seen_run"), F.lit(True).alias("active"))
+    found = bound_sql(spark, sf_dir, _FOUND_BY_HOUR.format(run=_RUNS["found"])).withColumn("seq", F.lit(1))
     return issues.merge_issues(known, found, "r2")
 
 
-@query("""
-    WITH i AS (SELECT o_custkey AS issue_id, list(o_orderkey ORDER BY o_orderkey) AS refs FROM orders WHERE o_orderkey % 9 = 0 GROUP BY o_custkey),
-    x AS (SELECT issue_id, unnest(refs) AS ref FROM i)
-    SELECT issue_id, string_agg(CASE WHEN l.n IS NULL THEN concat(CAST(ref AS VARCHAR), ':note') ELSE concat(CAST(ref AS VARCHAR), ':record:', CAST(l.n AS VARCHAR)) END, ' | ' ORDER BY ref) AS evidence
-    FROM x LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY l_orderkey) l ON l.l_orderkey = ref GROUP BY issue_id""")
-def evidence_enrich(spark, sf_dir):
-    return _evidence(table(spark, sf_dir, "orders").filter("o_orderkey % 9 = 0"), table(spark, sf_dir, "lineitem").filter("l_orderkey % 2 = 0"))
-
-
 @query("""
     WITH i AS (SELECT o_custkey AS issue_id, list(o_orderkey ORDER BY o_orderkey) AS refs FROM orders GROUP BY o_custkey),
     x AS (SELECT issue_id, unnest(refs) AS ref FROM i)
     SELECT issue_id, string_agg(CASE WHEN l.n IS NULL THEN concat(CAST(ref AS VARCHAR), ':note') ELSE concat(CAST(ref AS VARCHAR), ':record:', CAST(l.n AS VARCHAR)) END, ' | ' ORDER BY ref) AS evidence
     FROM x LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) l ON l.l_orderkey = ref GROUP BY issue_id""")
-def evidence_enrich_whole(spark, sf_dir):
+def evidence_enrich(spark, sf_dir):
     """All orders and all of lineitem; orders without lines are the notes."""
     return _evidence(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"))
 

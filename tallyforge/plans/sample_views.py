@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 VIEWS = {
@@ -37,13 +39,14 @@ VIEWS = {
             CASE WHEN c_custkey % 23 <> 0 THEN 'person' ELSE 'organisation' END AS holder_kind,
             CASE (c_custkey + k) % 4 WHEN 0 THEN 'RN' WHEN 1 THEN 'LPN' WHEN 2 THEN 'CNA' ELSE 'OTHER' END AS type,
             concat(CASE c_custkey % 3 WHEN 0 THEN 'RN-' WHEN 1 THEN 'LPN-' ELSE 'X' END, CAST(100 + c_custkey % 600 + k * 5000 AS STRING)) AS number,
-            CASE WHEN (c_custkey + k) % 9 <> 0 THEN CAST('1995-06-01' AS DATE) + CAST((c_custkey * 37 + k * 400) % 1500 AS INT) END AS expires_on
+            CASE WHEN (c_custkey + k) % 9 <> 0 THEN CAST('1995-06-01' AS DATE) + CAST((c_custkey * 37 + k * 400) % 1500 AS INT) END AS expires_on,
+            CASE WHEN c_custkey % 4 <> 1 THEN CAST('1996-01-01' AS DATE) + CAST(c_custkey % 700 AS INT) END AS last_verified
         FROM customer CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k) AS ks WHERE c_custkey % 6 <> 0
     """,
     "records": """
         SELECT concat('R', CAST(o_orderkey AS STRING)) AS record_id, 'payroll' AS template, concat('P', CAST(o_custkey % 300 AS STRING)) AS person_id, CAST(NULL AS STRING) AS employee_id,
             CASE o_orderkey % 4 WHEN 0 THEN 'RN' WHEN 1 THEN 'LPN' WHEN 2 THEN 'CNA' END AS role, concat('F', CAST(o_orderkey % 2 AS STRING)) AS facility_id,
-            concat('Y', CAST(o_orderkey % 50 AS STRING)) AS pay_id, CAST('1996-01-01' AS DATE) + CAST(o_orderkey % 40 * 7 AS INT) AS period_start,
+            CASE WHEN o_orderkey % 9 <> 4 THEN concat('Y', CAST(o_orderkey % 50 AS STRING)) END AS pay_id, CASE WHEN o_orderkey % 31 <> 0 THEN CAST('1996-01-01' AS DATE) + CAST(o_orderkey % 40 * 7 AS INT) END AS period_start,
             CAST('1996-01-07' AS DATE) + CAST(o_orderkey % 40 * 7 AS INT) AS period_end, floor(o_totalprice) % 3 AS hours_paid, CAST(NULL AS STRING) AS content
         FROM orders
         UNION ALL
@@ -53,11 +56,20 @@ VIEWS = {
 }
 
 
+def bound_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """The statement over the tables of a folder; the tables are bound to it alone, so no session view is left or overwritten."""
+    used = set()
+
+    def bind(m: re.Match) -> str:
+        used.add(m[2])
+        return f"{m[1]} {{{m[2]}}}"
+
+    text = re.sub(r"\b(FROM|JOIN) (customer|orders|lineitem|events)\b", bind, sql)
+    return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+
+
 def spark_views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The views over the tables of a folder; names carry no state into the session's catalogue beyond the tables read."""
-    for table in ("customer", "orders", "lineitem"):
-        spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
-    return {name: spark.sql(sql.format(ts="TIMESTAMP_NTZ")) for name, sql in VIEWS.items()}
+    return {name: bound_sql(spark, sf_dir, sql.format(ts="TIMESTAMP_NTZ")) for name, sql in VIEWS.items()}
 
 
 def duckdb_views(*names: str) -> str:

@@ -65,6 +65,8 @@ def find_delimiter(text: str) -> tuple[str, float] | None:
 def sniff_csv(head: bytes) -> Bid:
     if head.startswith((b"%PDF", b"PK")) or (b"\0" in head and not head.startswith((b"\xff\xfe", b"\xfe\xff"))):
         return Bid("csv", 0.0, "not text")
+    if len(head) >= HEAD_BYTES:  # the window may end within a line, or within a letter
+        head = head[: head.rfind(b"\n") + 1] or head
     text = decode(head)
     if text.lstrip()[:1] in ("{", "["):
         return Bid("csv", 0.0, "looks like JSON")
@@ -73,10 +75,10 @@ def sniff_csv(head: bytes) -> Bid:
 
 
 def sniff_json(head: bytes) -> Bid:
+    """A table needs an object: a list's first item, a list's first item under a key, or a line of its own."""
     text = decode(head).lstrip()
-    if text[:1] not in ("{", "["):
-        return Bid("json", 0.0, "no JSON value")
-    return Bid("json", 0.95, "JSON value")
+    tabular = re.match(r'\[\s*\{|\{\s*\}?\s*$|\{[^\n]*\}\s*(\n\s*\{|$)', text) or (text[:1] == "{" and re.search(r'"\s*:\s*\[\s*\{', text))
+    return Bid("json", 0.95, "JSON objects") if tabular else Bid("json", 0.0, "no JSON objects")
 
 
 def sniff_xlsx(head: bytes) -> Bid:
@@ -156,14 +158,15 @@ def merge_unquoted_names(grid: list[list[str]]) -> list[list[str]]:
     """Rows one cell too wide because of an unquoted 'LAST, FIRST', rejoined if at least 3 and four fifths of them split alike."""
     if len(grid) < 2:
         return grid
-    width = len(grid[0])
-    wide = [r for r in grid[1:] if len(r) == width + 1]
+    at = header_row(grid)
+    width, body = len(grid[at]), grid[at + 1 :]
+    wide = [r for r in body if len(r) == width + 1]
     places = [{i for i in range(width) if r[i + 1].startswith(" ") and r[i].strip()} for r in wide]
     shared = set.intersection(*places) if places else set()
-    if len(wide) < 3 or len(wide) < 0.8 * (len(grid) - 1) or len(shared) != 1:
+    if len(wide) < 3 or len(wide) < 0.8 * len(body) or len(shared) != 1:
         return grid
-    at = shared.pop()
-    return [[*r[:at], f"{r[at]},{r[at + 1]}", *r[at + 2 :]] if len(r) == width + 1 else r for r in grid]
+    k = shared.pop()
+    return [*grid[: at + 1], *([*r[:k], f"{r[k]},{r[k + 1]}", *r[k + 2 :]] if len(r) == width + 1 else r for r in body)]
 
 
 def extract_csv(data: bytes) -> list[RawTable]:

@@ -4,6 +4,7 @@ import json
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyforge.operators import checks
 from tallyforge.operators.matching import map_tables
@@ -79,7 +80,8 @@ def test_findings(world):
     assert got == sorted([("LIC-WORKED-EXPIRED", "CRITICAL"), ("COV-RN-DAILY", "CRITICAL"), ("COV-RN-DAILY", "CRITICAL"), ("HRS-PAID-VS-SCHED", "HIGH"), ("SRC-CONFLICT", "MEDIUM"), ("ID-FUZZY-LINK", "INFO")])
     by = {r["check_id"]: r for r in found}
     assert by["HRS-PAID-VS-SCHED"]["message"] == "paid 48.0, scheduled 40.0" and by["HRS-PAID-VS-SCHED"]["entity_ids"] == ["P-E202"]
-    assert by["LIC-WORKED-EXPIRED"]["message"] == "Worked 2026-09-16,2026-09-17,2026-09-18,2026-09-19"
+    assert by["LIC-WORKED-EXPIRED"]["message"] == "Worked 2026-09-16,2026-09-17,2026-09-18,2026-09-19. Last verified before the expiry date: a renewal may exist"
+    assert [e.split(":")[0] for e in by["LIC-WORKED-EXPIRED"]["evidence"]] == ["credentials", *["shifts"] * 4]
     again = checks.run_checks(world["views"], settings, more=more).collect()
     assert {r["fingerprint"] for r in again} == {r["fingerprint"] for r in found}
 
@@ -105,6 +107,14 @@ def test_failing_check_stops_nothing(world):
     assert [(r["check_id"], r["severity"]) for r in out] == [("CHECK-ERROR", "HIGH")]
 
 
+def test_check_that_fails_in_an_executor(world):
+    def broken(v, s):
+        return checks.drafts(v["persons"], [F.col("person_id")], message=F.raise_error(F.concat(F.lit("bad row "), F.col("person_id"))))
+
+    out = checks.run_checks(world["views"], checks.Settings(as_of=date(2026, 9, 21)), only=["BROKEN", "HRS-PAID-VS-SCHED"], more={"BROKEN": ("LOW", "x", broken)}).collect()
+    assert sorted(r["check_id"] for r in out) == ["CHECK-ERROR", "HRS-PAID-VS-SCHED"]
+
+
 def test_pack_from_folder(tmp_path):
     (tmp_path / "pack.json").write_text(json.dumps({"fields": {"a.b": {"kind": "date", "synonyms": ["b"]}}, "templates": {"t": {"required": ["a.b"], "one_of": [["a.b"]]}}, "vocab": {"v": {"X": ["x."]}}}))
     pack = load_pack(tmp_path)

@@ -21,6 +21,24 @@ def test_dates(spark):
     assert got == [date(2026, 9, 14)] * 7 + [None] * 4 + [date(1971, 1, 2)]
 
 
+def test_all_formats(spark):
+    day = date(2025, 5, 14)
+    names = [n for n in dates.FORMATS if n != dates.EXCEL]
+    assert len(names) == 19
+    got = column(spark, [day.strftime(n) for n in names] + ["14-may-25", "2025-05-14 07:30:00.5+02:00", "45791.25"], dates.parse_any)
+    assert got == [day] * 22
+    rows = spark.createDataFrame([(1, "45791"), (1, "45792"), (1, "x")], "g int, v string")
+    r = dates.infer_formats(rows, "v", ["g"]).first()
+    assert (r["format"], r["n_parsed"]) == (dates.EXCEL, 2)
+
+
+def test_column_format_first(spark):
+    rows = spark.createDataFrame([(0, "03/04/2026", "%d/%m/%Y"), (1, "03/04/2026", "%Y-%m-%d"), (2, "13/04/2026", "%Y-%m-%d"), (3, "03/03/2026", "%Y-%m-%d"), (4, "2026-04-03", "%d/%m/%Y"), (5, "03/04/2026", None)], "i int, v string, f string")
+    rows = rows.withColumn("p", dates.parsed_by_format(F.col("v")))
+    got = rows.select("i", dates.read_date(F.col("p"), F.col("f")).alias("d"), dates.ambiguous_off_format(F.col("v"), F.col("p"), F.col("f")).alias("a")).orderBy("i").collect()
+    assert [(r["d"], r["a"]) for r in got] == [(date(2026, 4, 3), False), (date(2026, 3, 4), True), (date(2026, 4, 13), False), (date(2026, 3, 3), False), (date(2026, 4, 3), False), (date(2026, 3, 4), True)]
+
+
 def test_weekday_date(spark):
     anchors = F.array(F.lit("2026-09-20").cast("date"))
     row = spark.range(1).select(dates.weekday_date(F.lit(9), F.lit(14), F.lit(0), anchors).alias("a"), dates.weekday_date(F.lit(2), F.lit(30), F.lit(0), anchors).alias("b")).first()
@@ -57,6 +75,25 @@ def test_names():
     assert (parse("M. Bell")["given"], parse("M. Bell")["initial"], parse("Bell")["family"], parse("Bell")["initial"], parse(" ")["family"]) == (None, "m", "bell", None, None)
 
 
+def test_folded_names():
+    parse = linking.parse_person_name
+    assert (parse("Al Smith")["given"], parse("Le Brown")["given"], parse("St John")["given"]) == ("al", "le", "st")
+    assert (parse("Łukasz Strauß")["given"], parse("Łukasz Strauß")["family"], parse("Ærø, Jørn")["family"]) == ("lukasz", "strauss", "aero")
+    assert (parse("Jr")["family"], parse("Jr")["suffix"], parse("Bell (open [note) Jr")["suffix"]) == ("jr", None, "jr")
+
+
+def test_json_bids():
+    bid = lambda t: parsing.sniff_json(t.encode()).score
+    assert bid('[{"a": 1}]') == bid('{"rows": [{"a": 1}]}') == bid('{"a": 1}\n{"a": 2}\n') == bid('{"a": 1}') == 0.95
+    assert bid("[1, 2, 3]") == bid("{braces} are not JSON") == bid("[note] a, b") == 0
+
+
+def test_unquoted_names_under_a_title():
+    data = b"Payroll of May\nid,name,hours\n" + b"".join(b"%d,BELL, MARCUS,4%d\n" % (i, i) for i in range(4))
+    table = parsing.extract_csv(data)[0]
+    assert table.columns == ["id", "name", "hours"] and table.rows[0] == ["0", "BELL, MARCUS", "40"]
+
+
 def test_compare_given(spark):
     nick = spark.createDataFrame([("marc", "marcus"), ("bob", "robert")], "nickname string, formal string")
     pairs = [("Marc", "Marcus", "nickname"), ("Bob", "Robert", "nickname"), ("Sam", "Samantha", "nickname"), ("Marcus", "Marcos", "fuzzy"), ("M.", "Marcus", "initial"), ("M.", "Joan", "disagree"), ("Marcus", "Maria", "disagree"), ("Mark", "Marcus", "disagree")]

@@ -46,7 +46,7 @@ def test_queries_link_all_of_lineitem(spark, sf_dir):
     for n, c in want.items():
         groups[c].append(n)
     least = {n: min(g) for g in groups.values() for n in g}
-    assert {r["node"]: r["component"] for r in catalogue.QUERIES["components_whole"](spark, sf_dir).collect()} == least
+    assert {r["node"]: r["component"] for r in catalogue.QUERIES["components"](spark, sf_dir).collect()} == least
     facts = {f"o{o}": (f"o{o}",) for o, _, _ in rows} | {f"p{p}": (None,) for _, p, _ in rows}
     want = greedy([(f"o{o}", f"p{p}", q) for o, p, q in rows], facts)
     assert {r["id"]: r["cluster"] for r in catalogue.QUERIES["constrained_clusters"](spark, sf_dir).collect()} == want
