@@ -72,8 +72,10 @@ def silver(spark: SparkSession, cells: DataFrame, maps: list[tuple[str, list[str
     kind = F.create_map(*[F.lit(x) for f in pack.fields.values() for x in (f.name, f.kind)])[F.col("field")]
     long = cells.join(names, ["table_id", "col_name"]).withColumn("kind", kind)
     long = long.withColumn("parsed", F.when(F.col("kind") == "date", dates.parsed_by_format(F.col("value"))))
+    long = settled(long)  # each value is parsed once, for the column's format and for itself
     formats = dates.infer_formats(long.filter("kind = 'date'"), "value", ["table_id", "col_name"], "parsed").select("table_id", "col_name", "format", "ambiguous")
     long = long.join(formats, ["table_id", "col_name"], "left").withColumn("form", normalise(F.col("field"), F.col("value"), pack, dates.read_date(F.col("parsed"), F.col("format"))))
+    long = settled(long)
     near = _fuzzy_codes(long, pack).withColumnRenamed("field", "_f")
     long = long.join(near, F.col("form").isNull() & (F.col("field") == F.col("_f")) & (text.clean(F.col("value")) == F.col("text")), "left").drop("_f", "text")
     long = long.withColumn("form", F.coalesce("form", "near"))
