@@ -142,3 +142,42 @@ def header_day(header: Column, anchor: Column) -> Column:
     found = F.filter(F.transform(years, lambda y: F.format_string("%04d-%02d-%02d", y, month, day).try_cast("date")), lambda d: d.isNotNull())
     near = F.array_min(F.transform(found, lambda d: F.struct(F.abs(F.datediff(d, anchor)).alias("off"), d.alias("d"))))
     return F.coalesce(iso, F.when(month.isNotNull() & day.isNotNull(), near["d"]))
+
+
+_WEEKDAY = r"(?i)\b(mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?"
+_MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+_DAY_FORMS = (r"^(\d{1,2})/(\d{1,2})$", r"^(\d{1,2}) ?([a-z]{3})[a-z]*\.?$", r"^([a-z]{3})[a-z]*\.? ?(\d{1,2})$")
+
+
+def _day_parts(header: Column) -> tuple[Column, Column, Column, Column]:
+    """(weekday with Monday 0, month, day, what is left beside the weekday) of a header."""
+    plain = F.trim(F.regexp_replace(F.lower(header), r"\s+", " "))
+    weekday = F.array_position(F.array(*[F.lit(d) for d in "mon tue wed thu fri sat sun".split()]), F.regexp_extract(plain, _WEEKDAY, 1)) - 1
+    rest = F.regexp_replace(F.regexp_replace(plain, _WEEKDAY, ""), r"^[ ,]+|[ ,]+$", "")
+    slash, day_first, month_first = _DAY_FORMS
+    number = lambda form, k: F.regexp_extract(rest, form, k).try_cast("int")
+    named = lambda form, k: F.nullif(F.array_position(F.array(*[F.lit(m) for m in _MONTHS]), F.regexp_extract(rest, form, k)).cast("int"), F.lit(0))
+    month = F.coalesce(number(slash, 1), named(day_first, 2), named(month_first, 1))
+    day = F.coalesce(number(slash, 2), number(day_first, 1), number(month_first, 2))
+    return F.when(weekday >= 0, weekday), month, day, rest
+
+
+def names_day(header: Column) -> Column:
+    """Whether a header names a day as 'Mon 09/14', '09/14', '18 Sep', 'Sep 18' or a date with its year."""
+    _, month, day, rest = _day_parts(header)
+    return F.coalesce((month.isNotNull() & day.isNotNull()) | F.when(rest.rlike(r"\d{4}"), parse_any(rest).isNotNull()), F.lit(False))
+
+
+def schedule_day(header: Column, anchors: Column) -> Column:
+    """struct(day, issue) of a schedule's column. A date with its year stands for itself; else the year is that in which the weekday fits
+    nearest to the latest of the anchors, or that of the nearest such day. No day is 'schedule_dates:header', a day of another weekday
+    'day_mismatch:header'."""
+    weekday, month, day, rest = _day_parts(header)
+    whole = F.when(rest.rlike(r"\d{4}"), parse_any(rest))
+    last = F.array_max(anchors)
+    made = F.transform(F.array(*[F.year(last) + k for k in (-1, 0, 1)]), lambda y: F.format_string("%04d-%02d-%02d", y, month, day).try_cast("date"))
+    near = F.array_min(F.transform(F.array_compact(made), lambda d: F.struct(F.abs(F.datediff(d, last)).alias("off"), d.alias("d"))))
+    known = month.isNotNull() & day.isNotNull() & last.isNotNull()
+    found = F.coalesce(whole, F.when(known & weekday.isNotNull(), weekday_date(month, day, weekday, anchors)), F.when(known, near["d"]))
+    issue = F.when(found.isNull(), F.concat(F.lit("schedule_dates:"), header)).when(F.weekday(found) != weekday, F.concat(F.lit("day_mismatch:"), header))
+    return F.struct(found.alias("day"), issue.alias("issue"))

@@ -50,9 +50,14 @@ def short_hash(*parts: Column) -> Column:
     return F.sha1(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("None")) for p in parts]))
 
 
+def header_form(name: Column) -> Column:
+    """A column's name with its words cleaned and digits collapsed: 'Mon 09/14' and 'Mon 09/21' are one column."""
+    return F.regexp_replace(clean(name), r"[0-9]+", "0")
+
+
 def header_fingerprint(names: Column) -> Column:
-    """Of an array of column names: lower case, digits collapsed, order kept."""
-    return F.sha1(F.array_join(F.transform(names, lambda n: F.regexp_replace(F.lower(F.trim(n)), r"[0-9]+", "#")), "|"))
+    """Of an array of column names, in any order."""
+    return F.sha1(F.array_join(F.array_sort(F.transform(names, header_form)), "|"))
 
 
 _OFF = r"^(off|o|x|-|—|–|pto|vac|lv|)$"

@@ -286,7 +286,7 @@ def parse_issue_drafts(records: DataFrame) -> DataFrame:
 def run_checks(views: Views, settings: Settings, only: list[str] | None = None, more: dict | None = None, apart: bool = True) -> DataFrame:
     """Drafts of all checks with check_id, severity, title and fingerprint. ``more`` adds checks of a pack by name.
 
-    Each check is computed and kept on its own (``apart``), so that one that fails at work, inside an executor too, is one CHECK-ERROR
+    A check's drafts may name another check_id, as those of files and records do. Each check is computed and kept on its own (``apart``), so that one that fails at work, inside an executor too, is one CHECK-ERROR
     draft and stops nothing else. Without ``apart`` the result is one lazy plan, in which only a plan that can't be made is caught."""
     spark = next(iter(views.values())).sparkSession
     out = None
@@ -296,11 +296,14 @@ def run_checks(views: Views, settings: Settings, only: list[str] | None = None,
         try:
             found = fn(views, settings)
             found = found if "evidence" in found.columns else found.withColumn("evidence", F.array().cast("array<string>"))
+            for column in ("facility_id", "period_start", "period_end"):
+                if column not in found.columns:
+                    found = found.withColumn(column, F.lit(None).cast("string" if column == "facility_id" else "date"))
             found = settled(found) if apart else found
         except Exception as e:
             found = drafts(spark.range(1), [F.lit(check_id)], message=F.lit(f"{type(e).__name__}: {e}"[:500]), severity=F.lit("HIGH"))
             check_id, title = "CHECK-ERROR", "A check failed"
-        found = found.withColumn("check_id", F.lit(check_id)).withColumn("title", F.lit(title))
+        found = (found if "check_id" in found.columns else found.withColumn("check_id", F.lit(check_id))).withColumn("title", F.lit(title))
         found = found.withColumn("severity", F.coalesce("severity", F.lit(severity))).withColumn("message", F.coalesce("message", "title"))
         out = found if out is None else out.unionByName(found)
     return out.withColumn("fingerprint", fingerprint(F.col("check_id"), F.col("entity_ids"), F.col("period_start"), F.col("period_end"), F.col("key")))

@@ -141,11 +141,13 @@ def map_table(columns: list[tuple[str, str, list[float]]], pack, no_field: float
 
 
 def contract_id(columns: list[str]) -> str:
-    """Of a header, digits collapsed: the same export has it every week."""
-    return hashlib.sha1("|".join(re.sub(r"\d+", "#", c.strip().lower()) for c in columns).encode()).hexdigest()
+    """Of a header, digits collapsed and in any order: the same export has it every week."""
+    return hashlib.sha1("|".join(sorted(re.sub(r"\d+", "0", text.clean_text(c)) for c in columns)).encode()).hexdigest()
 
 
 def header_jaccard(a: Column, b: Column) -> Column:
+    """Of two arrays of column names, digits collapsed."""
+    a, b = (F.transform(x, text.header_form) for x in (a, b))
     return F.size(F.array_intersect(a, b)) / F.greatest(F.size(F.array_union(a, b)), F.lit(1))
 
 

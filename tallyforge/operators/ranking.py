@@ -53,3 +53,10 @@ def unique_names(df: DataFrame, group: list[str], position: str, name: str) -> D
     """Names made unique within a group in order of position: n, n_2, n_3."""
     number = F.row_number().over(W.partitionBy(*group, name).orderBy(position))
     return df.withColumn(name, F.when(number > 1, F.concat_ws("_", F.col(name), number)).otherwise(F.col(name)))
+
+
+def unique_ids(df: DataFrame, wanted: str, fallback: str, received: str, out: str) -> DataFrame:
+    """``wanted`` as the id of the newest row that has it (least ``fallback`` on ties), ``fallback`` of all others and of rows without one."""
+    place = F.row_number().over(W.partitionBy(wanted).orderBy(F.col(received).desc_nulls_last(), F.col(fallback)))
+    held = F.coalesce(F.col(wanted), F.lit("")) != ""
+    return df.withColumn("_place", place).withColumn(out, F.when(held & (F.col("_place") == 1), F.col(wanted)).otherwise(F.col(fallback))).drop("_place")

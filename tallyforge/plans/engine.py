@@ -14,7 +14,7 @@ from tallyforge.operators.matching import Mapping
 
 from .pack import Pack
 
-CREDENTIAL = ["expires_on", "last_verified", "type"]
+CREDENTIAL = ["expires_on", "last_verified", "type", "number"]
 PERSON = ["display_name", "role", "home_facility", "hire_date", "phone", "employee_id"]
 
 
@@ -111,13 +111,24 @@ def person_records(records: DataFrame, schedule: DataFrame | None, pack: Pack) -
     credential_type, role, facility."""
     f = lambda name: F.col("fields")[name]
     full = F.coalesce(f("person.full_name"), F.concat_ws(" ", f("person.given_name"), f("person.family_name")))
-    out = records.select("record_id", "table_id", "template", (F.col("template") == "hr_roster").alias("is_hr"), full.alias("name"), f("person.employee_id").alias("employee_id"), f("credential.number").alias("credential_number"), f("credential.type").alias("credential_type"), f("person.role").alias("role"), f("person.facility").alias("facility"))
+    out = records.filter(~is_organisation()).select("record_id", "table_id", "template", (F.col("template") == "hr_roster").alias("is_hr"), full.alias("name"), f("person.employee_id").alias("employee_id"), f("credential.number").alias("credential_number"), f("credential.type").alias("credential_type"), f("person.role").alias("role"), f("person.facility").alias("facility"))
     if schedule is not None:
         s = schedule.groupBy("record_id").agg(F.first("full_name").alias("name"), F.first("role").alias("role"), F.first("facility").alias("facility"))
         out = out.unionByName(s.select("record_id", F.lit("schedule").alias("table_id"), F.lit("schedule").alias("template"), F.lit(False).alias("is_hr"), "name", F.lit(None).cast("string").alias("employee_id"), F.lit(None).cast("string").alias("credential_number"), F.lit(None).cast("string").alias("credential_type"), "role", "facility"))
     return out.filter("coalesce(name, '') <> '' or employee_id is not null or credential_number is not null")
 
 
+def is_organisation() -> Column:
+    """Whether a silver record is an organisation's: it takes no part in linking persons."""
+    return F.coalesce(F.col("fields")["org.name"], F.lit("")) != ""
+
+
+def credential_id() -> Column:
+    """A record's credential: its number; an organisation's has its name too, and the kind of document where it has no number."""
+    f = F.col("fields")
+    return F.when(is_organisation(), F.concat(F.lit("ORG:"), text.slug(f["org.name"]), F.lit(":"), F.coalesce(f["credential.number"], f["credential.doc_type"], F.lit("")))).otherwise(f["credential.number"])
+
+
 def resolve(persons: DataFrame, pack: Pack, weights: linking.Weights = linking.Weights(), extra: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(record_id, person_id) and the scored links.
 
@@ -160,9 +171,9 @@ def claims(records: DataFrame, owners: DataFrame, received: str | None = None) -
     f = lambda name: F.col("fields")[name]
     name = F.coalesce(F.concat_ws(" ", f("person.given_name"), f("person.family_name")), F.lit(""))
     person = [("display_name", F.when(name != "", name).otherwise(f("person.full_name"))), ("role", f("person.role")), ("home_facility", F.when(F.col("template") == "hr_roster", f("person.facility"))), ("hire_date", f("person.hire_date")), ("phone", f("person.phone")), ("employee_id", f("person.employee_id"))]
-    credential = [("expires_on", f("credential.expires_on")), ("last_verified", f("credential.last_verified")), ("type", F.coalesce(f("credential.type"), F.when(F.col("template") == "hr_roster", f("person.role"))))]
+    credential = [("expires_on", f("credential.expires_on")), ("last_verified", f("credential.last_verified")), ("type", F.coalesce(f("credential.type"), F.when(F.col("template") == "hr_roster", f("person.role")), F.when(is_organisation(), f("credential.doc_type")))), ("number", F.when(is_organisation(), f("credential.number")))]
     items = [F.struct(F.lit("person").alias("kind"), F.col("person_id").alias("entity_id"), F.lit(a).alias("attribute"), v.alias("value")) for a, v in person]
-    items += [F.struct(F.lit("credential").alias("kind"), f("credential.number").alias("entity_id"), F.lit(a).alias("attribute"), v.alias("value")) for a, v in credential]
+    items += [F.struct(F.lit("credential").alias("kind"), credential_id().alias("entity_id"), F.lit(a).alias("attribute"), v.alias("value")) for a, v in credential]
     seen = F.lit(received).cast("timestamp") if received else F.lit(None).cast("timestamp")
     long = rows.select("record_id", "person_id", F.col("template").alias("source"), "src_row", seen.alias("observed_at"), F.explode(F.array(*items)).alias("c"))
     long = long.select("record_id", "person_id", "source", "src_row", "observed_at", "c.*").filter("entity_id is not null and value is not null and value <> ''")
@@ -180,22 +191,33 @@ def golden(all_claims: DataFrame, pack: Pack) -> DataFrame:
     return out
 
 
-def gold_views(spark: SparkSession, records: DataFrame, schedule: DataFrame | None, owners: DataFrame, persons: DataFrame, all_claims: DataFrame, best: DataFrame, pack: Pack) -> checks.Views:
-    """The views that checks and exports read, rebuilt from silver and golden values."""
+def gold_views(spark: SparkSession, records: DataFrame, schedule: DataFrame | None, owners: DataFrame, persons: DataFrame, all_claims: DataFrame, best: DataFrame, pack: Pack, received: DataFrame | None = None) -> checks.Views:
+    """The views that checks and exports read, rebuilt from silver and golden values.
+
+    ``received`` (table_id, received): when a table's file came. Of rows that say the same - a pay period of a person and facility, a shift
+    of a person, facility and times - the newest file's counts, then the least record. A pay id that another period has already
+    gives way to the record's id. An organisation holds its credentials itself."""
+    if received is None:
+        received = spark.createDataFrame([], "table_id string, received timestamp")
     wide = lambda kind, names: best.filter(F.col("kind") == kind).groupBy("entity_id").agg(*[F.max(F.when(F.col("attribute") == a, F.col("golden"))).alias(a) for a in names])
     hr = owners.join(persons.select("record_id", "is_hr"), "record_id").groupBy("person_id").agg(F.bool_or("is_hr").alias("has_hr"))
     p = hr.join(wide("person", PERSON).withColumnRenamed("entity_id", "person_id"), "person_id", "left").withColumn("hire_date", F.col("hire_date").cast("date"))
     f = lambda name: F.col("fields")[name]
     holder = all_claims.filter("kind = 'credential'").groupBy("entity_id").agg(F.min("person_id").alias("holder_id"))
-    c = wide("credential", CREDENTIAL).join(holder, "entity_id", "left").select(F.col("entity_id").alias("credential_id"), "holder_id", F.lit("person").alias("holder_kind"), F.coalesce("type", F.regexp_extract("entity_id", "^([A-Z]+)-", 1)).alias("type"), F.col("entity_id").alias("number"), F.col("expires_on").cast("date").alias("expires_on"), F.col("last_verified").cast("date").alias("last_verified"))
-    pay = records.filter("template = 'payroll'").join(owners, "record_id").select(F.coalesce(f("pay.payroll_id"), F.col("record_id")).alias("pay_id"), "person_id", f("person.facility").alias("facility_id"), f("pay.period_start").cast("date").alias("period_start"), f("pay.period_end").cast("date").alias("period_end"), f("pay.hours_paid").cast("double").alias("hours_paid"), "record_id", F.lit(None).cast("timestamp").alias("received"))
-    pay = ranking.newest_per_key(pay, ["pay_id", "person_id", "facility_id", "period_start", "period_end"], "received", "record_id").drop("received", "record_id")
+    org = F.col("entity_id").startswith("ORG:")
+    c = wide("credential", CREDENTIAL).join(holder, "entity_id", "left").select(F.col("entity_id").alias("credential_id"), F.when(org, F.col("entity_id")).otherwise(F.col("holder_id")).alias("holder_id"), F.when(org, "organisation").otherwise("person").alias("holder_kind"), F.coalesce("type", F.regexp_extract("entity_id", "^([A-Z]+)-", 1)).alias("type"), F.when(org, F.col("number")).otherwise(F.col("entity_id")).alias("number"), F.col("expires_on").cast("date").alias("expires_on"), F.col("last_verified").cast("date").alias("last_verified"))
+    pay = records.filter("template = 'payroll'").join(owners, "record_id").join(received, "table_id", "left").select(f("pay.payroll_id").alias("payroll_id"), "person_id", f("person.facility").alias("facility_id"), f("pay.period_start").cast("date").alias("period_start"), f("pay.period_end").cast("date").alias("period_end"), f("pay.hours_paid").cast("double").alias("hours_paid"), "record_id", "received")
+    pay = ranking.newest_per_key(pay.filter("period_start is not null and period_end is not null"), ["person_id", "facility_id", "period_start", "period_end"], "received", "record_id")
+    pay = ranking.unique_ids(pay, "payroll_id", "record_id", "received", "pay_id").select("pay_id", "person_id", "facility_id", "period_start", "period_end", "hours_paid")
     raw = records.join(owners, "record_id", "left").select("record_id", "template", "person_id", f("person.employee_id").alias("employee_id"), f("person.role").alias("role"), f("person.facility").alias("facility_id"), f("pay.payroll_id").alias("pay_id"), f("pay.period_start").cast("date").alias("period_start"), f("pay.period_end").cast("date").alias("period_end"), f("pay.hours_paid").cast("double").alias("hours_paid"), F.to_json(F.map_from_entries(F.array_sort(F.map_entries("fields")))).alias("content"))
     shifts = spark.createDataFrame([], "shift_id string, person_id string, facility_id string, role string, work_date date, start_ts timestamp_ntz, end_ts timestamp_ntz, hours double")
     if schedule is not None:
-        s = schedule.filter("shift.kind = 'shift'").join(owners, "record_id")
+        s = schedule.filter("shift.kind = 'shift'").join(owners, "record_id", "left")
+        s = s.join(received, "table_id", "left") if "table_id" in s.columns else s.withColumn("received", F.lit(None).cast("timestamp"))
         begin = F.col("work_date").cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("shift.start_min"))
-        s = s.select(F.concat_ws("-", "record_id", F.date_format("work_date", "yyyyMMdd")).alias("shift_id"), "person_id", F.col("facility").alias("facility_id"), "role", "work_date", begin.alias("start_ts"), (begin + F.make_dt_interval(mins=(F.col("shift.hours") * 60).cast("int"))).alias("end_ts"), F.col("shift.hours").alias("hours"))
+        s = s.select(F.concat_ws("-", "record_id", F.date_format("work_date", "yyyyMMdd")).alias("shift_id"), "person_id", F.col("facility").alias("facility_id"), "role", "work_date", begin.alias("start_ts"), (begin + F.make_dt_interval(mins=(F.col("shift.hours") * 60).cast("int"))).alias("end_ts"), F.col("shift.hours").alias("hours"), "received")
+        alone = F.when(F.col("start_ts").isNull() | F.col("person_id").isNull(), F.col("shift_id"))  # such a shift is like no other
+        s = ranking.newest_per_key(s.withColumn("_alone", alone), ["person_id", "facility_id", "work_date", "start_ts", "end_ts", "_alone"], "received", "shift_id").drop("received", "_alone")
         shifts = shifts.unionByName(s)
     scope = spark.createDataFrame(list(pack.role_scope), "role string, license_type string")
     return {"persons": p, "credentials": c, "pay_periods": pay, "records": raw, "shifts": shifts, "role_scope": scope}

@@ -78,6 +78,7 @@ STAFFING = Pack(
         F_("credential.number", synonyms=("license number", "license no", "lic number", "certificate number"), pattern=r"[A-Z]{1,5}[\W_]*\d{3,10}"),
         F_("credential.type", "vocab", ("license type", "credential type", "type"), vocab="roles"),
         F_("credential.expires_on", "date", ("license expiration", "expiration date", "expires", "exp date", "expiry")), F_("credential.last_verified", "date", ("last verified", "verified on")),
+        F_("org.name", synonyms=("organization name", "organisation name", "vendor name", "agency name")), F_("credential.doc_type", synonyms=("document type", "doc type", "document")),
         F_("pay.payroll_id", synonyms=("payroll id", "pay id", "check number", "ref")), F_("pay.period_start", "date", ("period start", "week begin", "from", "pay period start")),
         F_("pay.period_end", "date", ("period end", "week end", "to", "pay period end")), F_("pay.hours_paid", "number", ("hours paid", "hours", "hrs", "paid hours"), most=200.0),
     ]},
@@ -85,6 +86,7 @@ STAFFING = Pack(
         Template("hr_roster", ("person.employee_id", "person.role"), ("person.facility", "person.phone", "credential.number", "credential.expires_on", "person.hire_date"), (("person.given_name", "person.family_name"), ("person.full_name",))),
         Template("payroll", ("person.full_name", "pay.period_start", "pay.period_end", "pay.hours_paid"), ("pay.payroll_id", "person.role", "person.facility"), at_least=(("pay.period_end", "pay.period_start"),)),
         Template("license", ("credential.number", "person.full_name", "credential.expires_on"), ("credential.type", "credential.last_verified")),
+        Template("organisation", ("org.name", "credential.doc_type", "credential.expires_on"), ("credential.number", "credential.last_verified")),
     ),
     vocab={"roles": {"RN": ("r.n.", "registered nurse"), "LPN": ("l.p.n.", "lvn", "licensed practical nurse"), "CNA": ("c.n.a.", "nurse aide", "certified nursing assistant")},
            "facilities": {"FAC-BAY": ("bayside", "bayside care center", "bys", "bay"), "FAC-RVD": ("riverdale", "riverdale care center", "rvd")}},

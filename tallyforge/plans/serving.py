@@ -47,6 +47,31 @@ def people_list(persons: DataFrame, issues: DataFrame, search: str | None = None
     return rows.orderBy("display_name", "person_id")
 
 
+def person_detail(person_id: str, views: dict[str, DataFrame], issues: DataFrame, claims: DataFrame, golden: DataFrame, links: DataFrame, owners: DataFrame, as_of: date) -> dict[str, DataFrame]:
+    """What is known of one person, a table a part: person (with open_issues), credentials (with days_left), golden (each with its claims in
+    order of time), links of their records, shifts by day, and the issues that name them. Each is a filter or a join on the ids of one person."""
+    me = F.lit(person_id)
+    held = views["credentials"].filter(F.col("holder_id") == me).withColumn("days_left", F.datediff("expires_on", F.lit(as_of)))
+    mine = held.select(F.col("credential_id").alias("entity_id")).unionByName(views["persons"].filter(F.col("person_id") == me).select(F.col("person_id").alias("entity_id"))).distinct()
+    said = claims.join(F.broadcast(mine), "entity_id", "left_semi").groupBy("entity_id", "attribute").agg(F.array_sort(F.collect_list(F.struct("observed_at", "claim_id", "source", "value"))).alias("claims"))
+    records = F.broadcast(owners.filter(F.col("person_id") == me).select("record_id"))
+    ends = [links.join(records, links[end] == records["record_id"], "left_semi") for end in ("a", "b")]
+    return {
+        "person": people_list(views["persons"].filter(F.col("person_id") == me), issues),
+        "credentials": held,
+        "golden": golden.join(F.broadcast(mine), "entity_id", "left_semi").join(said, ["entity_id", "attribute"], "left"),
+        "links": ends[0].unionByName(ends[1]).dropDuplicates(["a", "b"]),
+        "shifts": views["shifts"].filter(F.col("person_id") == me).orderBy("work_date", "shift_id"),
+        "issues": issue_list(issues, views["persons"], person_id),
+    }
+
+
+def runs_list(runs: DataFrame, files: DataFrame) -> DataFrame:
+    """Runs, the newest first, with the number of files of each."""
+    n = files.groupBy("run_id").agg(F.count("*").alias("file_count"))
+    return runs.join(n, "run_id", "left").withColumn("file_count", F.coalesce("file_count", F.lit(0))).orderBy(F.desc("started_at"), "run_id")
+
+
 def shift_grid(views: dict[str, DataFrame], first: date, last: date, as_of: date) -> DataFrame:
     """A row per facility and person: cells by day, hours as a nurse by day, and whether any licence is unexpired."""
     shifts = views["shifts"].filter(F.col("work_date").between(F.lit(first), F.lit(last)))
