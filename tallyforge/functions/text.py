@@ -74,23 +74,35 @@ def _minutes(token: Column, at: int) -> Column:
     return F.when(ok & (m < 60), h * 60 + m)
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it: a plan would write its expression out each time."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def parse_shift(value: Column) -> Column:
     """A cell of a schedule: struct(kind 'shift', 'off' or null, start_min, end_min, hours, note).
 
     7a-3p, 07:00-15:00, 7a to 3p; a second span after '/' that begins where the first ends makes a double; what follows
     in brackets or as '*' is the note. Times without a or p need minutes. Equal ends are 24 hours."""
-    text = F.lower(F.trim(F.coalesce(value, F.lit(""))))
-    off = text.rlike(_OFF)
-    first, second = F.trim(F.split_part(text, F.lit("/"), F.lit(1))), F.trim(F.split_part(text, F.lit("/"), F.lit(2)))
-    rest = F.trim(F.regexp_replace(F.when(second != "", second).otherwise(first), _SPAN, ""))
-    whole = first.rlike(_SPAN) & ((second == "") | second.rlike(_SPAN)) & rest.rlike(r"^(\*+|\(.*\))?$")
-    start, end, start2, end2 = _minutes(first, 1), _minutes(first, 4), _minutes(second, 1), _minutes(second, 4)
-    double = second != ""
-    last = F.when(double, end2).otherwise(end)
-    good = ~off & whole & start.isNotNull() & last.isNotNull() & (~double | (start2 == end))
-    hours = F.when(good, F.when(last == start, 24.0).otherwise(F.pmod(last - start, F.lit(1440)) / 60.0))
-    note = F.when(good & double, "double").when(good & (rest != ""), rest)
-    return F.struct(F.when(good, "shift").when(off, "off").alias("kind"), F.when(good, start).alias("start_min"), F.when(good, last).alias("end_min"), hours.alias("hours"), note.alias("note"))
+    def parts(text: Column) -> Column:
+        first, second = F.trim(F.split_part(text, F.lit("/"), F.lit(1))), F.trim(F.split_part(text, F.lit("/"), F.lit(2)))
+        return F.struct(text.rlike(_OFF).alias("off"), first.alias("first"), second.alias("second"))
+
+    def spans(p: Column) -> Column:
+        first, second = p["first"], p["second"]
+        rest = F.trim(F.regexp_replace(F.when(second != "", second).otherwise(first), _SPAN, ""))
+        whole = first.rlike(_SPAN) & ((second == "") | second.rlike(_SPAN)) & rest.rlike(r"^(\*+|\(.*\))?$")
+        ends = [_minutes(c, at).alias(n) for n, c, at in (("start", first, 1), ("end", first, 4), ("start2", second, 1), ("end2", second, 4))]
+        return F.struct(p["off"].alias("off"), (second != "").alias("double"), rest.alias("rest"), whole.alias("whole"), *ends)
+
+    def shift(s: Column) -> Column:
+        last = F.when(s["double"], s["end2"]).otherwise(s["end"])
+        good = ~s["off"] & s["whole"] & s["start"].isNotNull() & last.isNotNull() & (~s["double"] | (s["start2"] == s["end"]))
+        hours = F.when(good, F.when(last == s["start"], 24.0).otherwise(F.pmod(last - s["start"], F.lit(1440)) / 60.0))
+        note = F.when(good & s["double"], "double").when(good & (s["rest"] != ""), s["rest"])
+        return F.struct(F.when(good, "shift").when(s["off"], "off").alias("kind"), F.when(good, s["start"]).alias("start_min"), F.when(good, last).alias("end_min"), hours.alias("hours"), note.alias("note"))
+
+    return _let(_let(_let(F.lower(F.trim(F.coalesce(value, F.lit("")))), parts), spans), shift)
 
 
 def shift_text(start_min: Column, end_min: Column) -> Column:

@@ -130,7 +130,12 @@ def credential_id() -> Column:
 
 
 def resolve(persons: DataFrame, pack: Pack, weights: linking.Weights = linking.Weights(), extra: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(record_id, person_id) and the scored links.
+    """(record_id, person_id) and the links used: ``resolve_all`` without the pairs scored."""
+    return resolve_all(persons, pack, weights, extra)[:2]
+
+
+def resolve_all(persons: DataFrame, pack: Pack, weights: linking.Weights = linking.Weights(), extra: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(record_id, person_id), the links used, and all scored pairs with their zone.
 
     No two employee ids, name suffixes or licence numbers of one type meet in a person. A record without a full given name is
     never linked to another such; of the groups that the others form it joins the one that leads by the guard's margin, or none.
@@ -162,7 +167,7 @@ def resolve(persons: DataFrame, pack: Pack, weights: linking.Weights = linking.W
     best = used.withColumn("_n", F.row_number().over(W.partitionBy("a", "b").orderBy(F.desc("prob"), F.desc("weight")))).filter("_n = 1").drop("_n")
     best = settled(best)
     clusters = linking.constrained_clusters(best, keyed, "record_id", facts)
-    return linking.person_ids(clusters, keyed, "record_id"), best
+    return linking.person_ids(clusters, keyed, "record_id"), best, links
 
 
 def claims(records: DataFrame, owners: DataFrame, received: str | None = None) -> DataFrame:

@@ -16,7 +16,7 @@ from .pack import Pack
 #: Fields that say who a row of a schedule is about.
 PLACES = ("person.full_name", "person.role", "person.facility")
 _CLOCK = r"\d{1,2}(?::\d{2})?\s*[ap]?m?"
-_TOKEN = rf"(?i)\b({_CLOCK}\s*(?:-|–|—|to)\s*{_CLOCK})(?![\w:])"
+_TOKEN = rf"(?i)\b({_CLOCK}\s*(?:-|–|—|to)\s*{_CLOCK})(?!\w|:\d)"
 
 
 def anchors(records: DataFrame) -> list[date]:
@@ -31,7 +31,8 @@ def legends(notes: DataFrame) -> DataFrame:
     sentences = notes.select("table_id", F.explode(F.split("note", r"(?i)(?<=[a-z])\.(?=\s)|[;\n]")).alias("s"))
     hours = F.regexp_extract("s", r"(?i)([0-9]+(?:\.[0-9]+)?)\s*h(?:(?:ou)?rs?)?\b", 1).try_cast("double")
     tokens = sentences.withColumn("hours", hours).filter("hours is not null").select("table_id", "hours", F.explode(F.regexp_extract_all("s", F.lit(_TOKEN), F.lit(1))).alias("token"))
-    read = tokens.withColumn("t", text.parse_shift(F.col("token"))).filter("t.kind = 'shift'")
+    # exploded, so that the long expression stands once in the plan, whatever is asked of it
+    read = tokens.select("table_id", "hours", F.explode(F.array(text.parse_shift(F.col("token")))).alias("t")).filter("t.kind = 'shift'")
     return read.groupBy("table_id", F.col("t.start_min").alias("start_min"), F.col("t.end_min").alias("end_min")).agg(F.max("hours").alias("hours"))
 
 
@@ -86,7 +87,7 @@ def schedule_tables(cells: DataFrame, found: list[tuple[str, dict[str, str], lis
     if notes is None:
         notes = spark.createDataFrame([], "table_id string, note string")
     codes = letter_codes(notes).select("table_id", F.col("code").alias("token"), F.col("token").alias("_means"))
-    long = long.join(codes, ["table_id", "token"], "left").withColumn("shift", text.parse_shift(F.coalesce("_means", "token")))
+    long = long.join(codes, ["table_id", "token"], "left").select("*", F.explode(F.array(text.parse_shift(F.coalesce("_means", "token")))).alias("shift"))
     known = legends(notes).select("table_id", "start_min", "end_min", F.col("hours").alias("_legend"))
     long = long.withColumns({"start_min": F.col("shift.start_min"), "end_min": F.col("shift.end_min")}).join(known, ["table_id", "start_min", "end_min"], "left")
     hours, source, off = hours_rule(F.col("shift.hours"), F.col("_legend"))
