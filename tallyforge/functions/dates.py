@@ -129,21 +129,6 @@ def days_left_band(days: Column) -> Column:
     return F.when(days < 0, "overdue").when(days <= 30, "0-30").when(days <= 60, "31-60").when(days <= 90, "61-90")
 
 
-def header_day(header: Column, anchor: Column) -> Column:
-    """The date that a column's header names - ISO, 'Mon 09/14', '09/14', '18 Sep', 'Sep 18' - in the year nearest to the anchor date."""
-    month_names = F.create_map(*[F.lit(x) for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split(), 1) for x in (m, i)])
-    text = F.lower(F.trim(header))
-    iso = F.when(text.rlike(r"\d{4}-\d{2}-\d{2}"), F.regexp_extract(text, r"(\d{4}-\d{2}-\d{2})", 1).try_cast("date"))
-    first = lambda pattern, group: F.regexp_extract(text, pattern, group)
-    slash, day_month, month_day = r"(\d{1,2})/(\d{1,2})", r"\b(\d{1,2})\s+([a-z]{3})", r"\b([a-z]{3})[a-z]*\s+(\d{1,2})\b"
-    month = F.coalesce(first(slash, 1).try_cast("int"), month_names[first(day_month, 2)], month_names[first(month_day, 1)])
-    day = F.coalesce(first(slash, 2).try_cast("int"), F.when(month_names[first(day_month, 2)].isNotNull(), first(day_month, 1).try_cast("int")), first(month_day, 2).try_cast("int"))
-    years = F.array(*[F.year(anchor) + k for k in (-1, 0, 1)])
-    found = F.filter(F.transform(years, lambda y: F.format_string("%04d-%02d-%02d", y, month, day).try_cast("date")), lambda d: d.isNotNull())
-    near = F.array_min(F.transform(found, lambda d: F.struct(F.abs(F.datediff(d, anchor)).alias("off"), d.alias("d"))))
-    return F.coalesce(iso, F.when(month.isNotNull() & day.isNotNull(), near["d"]))
-
-
 _WEEKDAY = r"(?i)\b(mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?"
 _MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 _DAY_FORMS = (r"^(\d{1,2})/(\d{1,2})$", r"^(\d{1,2}) ?([a-z]{3})[a-z]*\.?$", r"^([a-z]{3})[a-z]*\.? ?(\d{1,2})$")

@@ -68,8 +68,12 @@ def run(spark: SparkSession, path: str, pack: Pack, settings: checks.Settings, r
         "FILES": ("HIGH", "A file could not be read", lambda v, s: drafts.file_drafts(status)),
         "TABLES": ("HIGH", "A table could not be mapped", lambda v, s: drafts.table_drafts(noted)),
         "PARSE": ("MEDIUM", "A value could not be read for sure", lambda v, s: checks.parse_issue_drafts(parsed)),
+        "ID-NAME-DIFFERS-ON-LICENSE": ("MEDIUM", "Another family name on the licence", lambda v, s: drafts.name_differs_drafts(_licence_names(persons, owners))),
         **(more or {}),
     }
+    if rows is not None:
+        at = rows.join(table_files, "table_id").select("file_id", "record_id", "token", F.col("shift.hours").alias("hours"), "legend_hours")
+        stages["LEGEND-MISMATCH"] = ("MEDIUM", "Hours differ from the legend's", lambda v, s: drafts.legend_mismatch_drafts(at))
     drafted = settled(checks.run_checks(views, settings, more=stages))
     numbered = drafted.withColumn("seq", F.monotonically_increasing_id())
     if known is None:
@@ -81,3 +85,11 @@ def run(spark: SparkSession, path: str, pack: Pack, settings: checks.Settings, r
     if rows is not None:
         out["shifts_silver"] = rows
     return Run(out, contracts)
+
+
+def _licence_names(persons: DataFrame, owners: DataFrame) -> DataFrame:
+    """credential_id, person_id and the family names on the licence and on the roster."""
+    named = linking.person_keys(persons, "name").withColumn("family", F.col("key.family")).join(owners, "record_id")
+    roster = named.filter("is_hr").groupBy("person_id").agg(F.min("family").alias("person_family"))
+    licences = named.filter("template = 'license' and credential_number is not null")
+    return licences.select(F.col("credential_number").alias("credential_id"), "person_id", F.col("family").alias("licence_family")).join(roster, "person_id")

@@ -58,19 +58,19 @@ def find_schedules(cells: DataFrame, pack: Pack, least_days: int = 3) -> list[tu
     return out
 
 
-def hours_rule(computed: Column, legend: Column) -> tuple[Column, Column, Column]:
-    """(hours, their source, whether they differ): the times count, the legend checks them or stands in."""
+def hours_rule(computed: Column, legend: Column) -> tuple[Column, Column]:
+    """(hours, their source): the times count, the legend checks them ('both' where it agrees) or stands in."""
     off = F.coalesce(F.abs(computed - legend) > 0.01, F.lit(False))
     source = F.when(computed.isNull(), F.when(legend.isNull(), "unknown").otherwise("legend")).when(legend.isNotNull() & ~off, "both").otherwise("computed")
-    return F.coalesce(computed, legend), source, off
+    return F.coalesce(computed, legend), source
 
 
 def schedule_tables(cells: DataFrame, found: list[tuple[str, dict[str, str], list[str]]], anchor_days: list[date], pack: Pack, notes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, issues) of the schedules ``found`` among the cells.
 
-    rows: record_id, table_id, full_name, role, facility, work_date, token, shift, hours, hours_source - as ``engine.schedule_rows`` gives
+    rows: record_id, table_id, full_name, role, facility, work_date, token, shift, hours, hours_source, legend_hours - as ``engine.schedule_rows`` gives
     them, for all tables in one job. A facility that the row lacks is looked for in the sheet's and then the file's name. issues: record_id,
-    parse_issues ('shift:cell', 'legend:token', and on a table's first row 'schedule_dates:header' and 'day_mismatch:header').
+    parse_issues ('shift:cell', and on a table's first row 'schedule_dates:header' and 'day_mismatch:header').
     A cell without a date, or of a day off, gives no shift."""
     spark = cells.sparkSession
     roles = spark.createDataFrame([(t, c, f.split(".")[1]) for t, m, _ in found for f, c in m.items()], "table_id string, col_name string, field string")
@@ -90,11 +90,11 @@ def schedule_tables(cells: DataFrame, found: list[tuple[str, dict[str, str], lis
     long = long.join(codes, ["table_id", "token"], "left").select("*", F.explode(F.array(text.parse_shift(F.coalesce("_means", "token")))).alias("shift"))
     known = legends(notes).select("table_id", "start_min", "end_min", F.col("hours").alias("_legend"))
     long = long.withColumns({"start_min": F.col("shift.start_min"), "end_min": F.col("shift.end_min")}).join(known, ["table_id", "start_min", "end_min"], "left")
-    hours, source, off = hours_rule(F.col("shift.hours"), F.col("_legend"))
-    long = long.withColumns({"hours": hours, "hours_source": source, "_off": off})
+    hours, source = hours_rule(F.col("shift.hours"), F.col("_legend"))
+    long = long.withColumns({"hours": hours, "hours_source": source})
     worked = (F.col("shift.kind") == "shift") & F.col("work_date").isNotNull()
-    rows = long.filter(worked).select("record_id", "table_id", "full_name", "role", "facility", "work_date", "token", "shift", "hours", "hours_source")
-    wrong = F.when(F.col("shift.kind").isNull(), F.concat(F.lit("shift:"), "token")).when(worked & F.col("_off"), F.concat(F.lit("legend:"), "token"))
+    rows = long.filter(worked).select("record_id", "table_id", "full_name", "role", "facility", "work_date", "token", "shift", "hours", "hours_source", F.col("_legend").alias("legend_hours"))
+    wrong = F.when(F.col("shift.kind").isNull(), F.concat(F.lit("shift:"), "token"))
     cell = long.select("record_id", wrong.alias("issue")).filter("issue is not null")
     first = people.groupBy("table_id").agg(F.min_by("record_id", "src_row").alias("record_id"))
     head = day.filter("issue is not null").join(first, "table_id").select("record_id", "issue")

@@ -1,4 +1,4 @@
-"""Grids out of positioned words: lines, columns, titles, scores and legends of pages. A page is a group of words; what is
+"""Grids out of positioned words: lines, columns, titles and scores of pages. A page is a group of words; what is
 sequential within a page (a line is compared with its first word) runs as a grouped map, pages in parallel."""
 
 from __future__ import annotations
@@ -90,15 +90,3 @@ def page_contexts(lines: list[tuple[int, str]], tables: list[tuple[int, int]]) -
         out.append({"title": title, "subtitle": above[-1] if len(above) > 1 else None, "footnote": " ".join(notes) or None})
         before = title
     return out
-
-
-def parse_legend(note: str) -> dict[str, float]:
-    """Hours by token out of '7a-3p, 3p-11p are 8 hours. 7a-7p is 12 hours.' and letter codes 'D = 7a-3p'."""
-    out: dict[str, float] = {}
-    for sentence in re.split(r"[.;]\s*(?=\D|\d+[ap]|$)|\n", note):
-        hours = re.search(r"(?:is|are|=|:)\s*(\d+(?:\.\d+)?)\s*(?:h|hr|hrs|hours?)\b", sentence, re.I)
-        if hours:
-            for token in re.split(r"\s*(?:,|\band\b)\s*", sentence[: hours.start()].strip(), flags=re.I):
-                if token:
-                    out[token.lower()] = float(hours[1])
-    return out

@@ -9,7 +9,7 @@ from tallyforge.operators import checks, drafts
 def test_header_days(spark):
     names = ["Mon 09/14", "09/14", "2026-09-14", "14 Sep", "Sep 14", "Staff", "12/31"]
     rows = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, v string")
-    got = [r["d"] for r in rows.select("i", dates.header_day(F.col("v"), F.lit("2026-09-20").cast("date")).alias("d")).orderBy("i").collect()]
+    got = [r["d"] for r in rows.select("i", dates.schedule_day(F.col("v"), F.array(F.lit(date(2026, 9, 20))))["day"].alias("d")).orderBy("i").collect()]
     assert got == [date(2026, 9, 14)] * 5 + [None, date(2026, 12, 31)]
 
 

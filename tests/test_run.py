@@ -18,6 +18,7 @@ FILES = {
     "plan bayside.csv": "Staff,Role,Mon 09/14,Tue 09/15,Wed 09/16,Thu 09/18\nNora Quinn,RN,7a-3p,OFF,7a-3p,what\n",
     "plan riverdale.csv": "Staff,Role,Mon 09/14,Tue 09/15,Wed 09/16\nOmar Vance,CNA,D,D,3p-11p\n",
     "vendors.csv": "organization_name,document_type,expiration_date,last_verified\nAcme Linen,insurance,2026-09-30,2026-01-05\nBay Oxygen,contract,2027-12-31,2026-01-05\n",
+    "licences.csv": "license_number,name_on_license,license_type,expiration_date,last_verified\nRN-400100,Nora Quinn,RN,2027-05-31,2026-09-01\nCNA-400200,Omar Strand,CNA,2027-02-28,2026-09-01\n",
     "odd.bin": "\0\1\2",
 }
 
@@ -37,7 +38,7 @@ def done(spark, tmp_path_factory):
 def test_run_reads_every_file(done, spark):
     out, path, _ = done
     assert {r["file_name"]: r["status"] for r in out.tables["files"].collect()}["odd.bin"] == "quarantined"
-    assert {r["template"] for r in out.tables["tables"].collect()} == {"hr_roster", "payroll", "organisation"}
+    assert {r["template"] for r in out.tables["tables"].collect()} == {"hr_roster", "payroll", "license", "organisation"}
     assert spark.read.parquet(f"{path}/gold_persons").count() == 2
     held = {r["credential_id"]: (r["holder_kind"], r["holder_id"]) for r in out.tables["gold_credentials"].collect()}
     assert held == {"RN-400100": ("person", "P-E31"), "CNA-400200": ("person", "P-E32"), "ORG:acme-linen:insurance": ("organisation",) + ("ORG:acme-linen:insurance",), "ORG:bay-oxygen:contract": ("organisation",) + ("ORG:bay-oxygen:contract",)}
@@ -50,6 +51,7 @@ def test_run_schedules(done):
     found = {(r["check_id"], r["key"]) for r in out.tables["drafts"].collect()}
     assert ("PARSE-DAY-MISMATCH", "day_mismatch:Thu 09/18") in found and ("PARSE-SHIFT", "shift:what") in found
     assert ("FILE-QUARANTINED", "FILE-QUARANTINED") in found and sum(c == "SQL-LONG" for c, _ in found) == 3
+    assert [r["entity_ids"] for r in out.tables["drafts"].filter("check_id = 'ID-NAME-DIFFERS-ON-LICENSE'").collect()] == [["CNA-400200", "P-E32"]]
     assert not any(c == "CHECK-ERROR" for c, _ in found)
 
 
@@ -91,7 +93,7 @@ def test_legends_and_codes(spark):
     assert found == [("t", {"person.full_name": "Staff"}, ["Mon 09/14", "Tue 09/15", "Wed 09/16"])]
     rows, issues = schedules.schedule_tables(cells, found, [date(2026, 9, 14)], STAFFING, notes)
     assert {(str(r["work_date"]), r["hours"], r["hours_source"]) for r in rows.collect()} == {("2026-09-14", 8.0, "both"), ("2026-09-15", 12.0, "computed")}
-    assert [r["parse_issues"] for r in issues.collect()] == [["legend:7a-7p"]]
+    assert issues.isEmpty() and {r["token"]: r["legend_hours"] for r in rows.collect()} == {"D": 8.0, "7a-7p": 11.5}
 
 
 def test_contracts(spark):

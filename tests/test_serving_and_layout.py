@@ -4,8 +4,7 @@ from tallyforge.plans import serving
 from tallyforge.sources import layout
 
 
-def test_legend_and_pages():
-    assert layout.parse_legend("7a-3p, 3p-11p, 11p-7a are 8 hours. 7a-7p is 12 hours.") == {"7a-3p": 8, "3p-11p": 8, "11p-7a": 8, "7a-7p": 12}
+def test_pages():
     assert layout.looks_like_schedule("Mon 1 Tue 2 Wed 3") and layout.looks_like_schedule("7a-3p 3p-11p 11p-7a") and not layout.looks_like_schedule("monthly report")
     got = layout.page_contexts([(0, "Bayside"), (1, "Week 1"), (5, "Legend: D is 8 hours")], [(2, 4), (6, 8)])
     assert got == [{"title": "Bayside", "subtitle": "Week 1", "footnote": "Legend: D is 8 hours"}, {"title": "Bayside", "subtitle": None, "footnote": None}]
