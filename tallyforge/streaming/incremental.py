@@ -53,5 +53,5 @@ def append_events(spark: SparkSession, log: str, events: DataFrame, last_seq: in
 def replay_events(spark: SparkSession, log: str, since: int) -> DataFrame:
     """Events after ``since`` in order; a reader that is ahead of the log starts again from the first."""
     events = spark.read.parquet(log)
-    last = events.agg(F.max("seq").alias("m"))
-    return events.crossJoin(F.broadcast(last)).filter((F.col("seq") > since) | (F.col("m") < since)).drop("m").orderBy("seq")
+    last = events.agg(F.max("seq").alias("m")).first()["m"]
+    return (events if last is None or last < since else events.filter(F.col("seq") > since)).orderBy("seq")
