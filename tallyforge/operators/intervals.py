@@ -64,10 +64,11 @@ def minutes_between(start: Column, end: Column) -> Column:
 
 def period_of_day(days: DataFrame, periods: DataFrame, key: list[str], day: str, start: str, end: str, prefer: str, row_id: str) -> DataFrame:
     """``days`` with the one period that holds the day: the same ``prefer`` value first, then the earliest start, then the least id.
+    An unknown ``prefer`` value, of the day or the period, is as good as a different one.
 
     A left range join and a rank; the days are keyed by (key, day, prefer)."""
     named = periods.select(*[F.col(k).alias(f"_p_{k}") for k in key], F.col(prefer).alias("_prefer"), *[c for c in (row_id, start, end)])
     on = _all([F.col(k) == F.col(f"_p_{k}") for k in key] + [F.col(day).between(F.col(start), F.col(end))])
     joined = days.join(named, on, "left")
-    rank = W.partitionBy(*key, day, prefer).orderBy((F.col("_prefer") == F.col(prefer)).desc_nulls_last(), F.col(start).asc_nulls_last(), F.col(row_id).asc_nulls_last())
+    rank = W.partitionBy(*key, day, prefer).orderBy(F.coalesce(F.col("_prefer") == F.col(prefer), F.lit(False)).desc(), F.col(start).asc_nulls_last(), F.col(row_id).asc_nulls_last())
     return joined.withColumn("_rank", F.row_number().over(rank)).filter("_rank = 1").drop("_rank", "_prefer", *[f"_p_{k}" for k in key])
