@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,6 +20,9 @@ CREDENTIAL = ["expires_on", "last_verified", "type", "number"]
 PERSON = ["display_name", "role", "home_facility", "hire_date", "phone", "employee_id"]
 
 
+AUTO = 0.95  # from this probability on a pair is a link
+
+
 def _in(aliases: list[tuple[str, str]], value: Column) -> Column:
     """The code of an alias; a pack's aliases are few and part of the expression."""
     table = {}
@@ -130,8 +135,8 @@ def credential_id() -> Column:
 
 
 def resolve(persons: DataFrame, pack: Pack, weights: linking.Weights = linking.Weights(), extra: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(record_id, person_id) and the links used: ``resolve_all`` without the pairs scored."""
-    return resolve_all(persons, pack, weights, extra)[:2]
+    """(record_id, person_id) and the links used: ``resolve_all`` without the pairs scored. Pairs that can't be links are left early."""
+    return _resolve(persons, pack, weights, extra, AUTO)[:2]
 
 
 def resolve_all(persons: DataFrame, pack: Pack, weights: linking.Weights = linking.Weights(), extra: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -140,15 +145,22 @@ def resolve_all(persons: DataFrame, pack: Pack, weights: linking.Weights = linki
     No two employee ids, name suffixes or licence numbers of one type meet in a person. A record without a full given name is
     never linked to another such; of the groups that the others form it joins the one that leads by the guard's margin, or none.
     ``extra`` (a, b, weight, prob, reasons) are links by people: they pass no guard, but the rules hold for them too."""
+    return _resolve(persons, pack, weights, extra, None)
+
+
+def _resolve(persons: DataFrame, pack: Pack, weights: linking.Weights, extra: DataFrame | None, auto: float | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``resolve_all``; with ``auto`` only pairs of at least that probability are scored to the end."""
     spark = persons.sparkSession
     nick = spark.createDataFrame(list(pack.nicknames) or [("", "")], "nickname string, formal string")
-    keyed = linking.person_keys(persons, "name", nick)
+    keyed = linking.person_keys(persons.repartition("record_id"), "name", nick)  # names are parsed in all tasks, however few files there are
     keyed = keyed.withColumns({"soundex": F.col("key.soundex"), "family3": F.substring(F.regexp_replace("key.family", "[^a-z]", ""), 1, 3), "initial": F.col("key.initial"), "suffix": F.col("key.suffix")})
     typed = F.when(F.col("credential_type").isNotNull() & F.col("credential_number").isNotNull(), F.create_map("credential_type", "credential_number"))
     keyed = settled(keyed.withColumn("licence", typed).withColumn("_short", (F.coalesce("name", F.lit("")) != "") & F.col("key.given").isNull()))
     facts = ["employee_id", "suffix", "licence"]
-    pairs = linking.block_pairs(keyed, [list(r) for r in pack.blocking], "record_id", "table_id", split="facility")
-    links = settled(linking.zones(linking.score_pairs(pairs, keyed, "record_id", weights)))
+    seen = keyed.withColumns({"words": linking.family_words(F.col("key.family")), "key": F.struct(*[F.col(f"key.{c}").alias(c) for c in ("family", "given", "initial", "suffix", "nick_key")])})
+    pairs = linking.block_pairs(seen, [list(r) for r in pack.blocking], "record_id", "table_id", split="facility", keep=[*linking.SCORED, "words"], tasks=4 * spark.sparkContext.defaultParallelism)
+    least = None if auto is None else math.log2(auto / (1 - auto))
+    links = settled(linking.zones(linking.score_joined(pairs, weights, least), auto=AUTO))
     sure = linking.key_links(keyed, "record_id", "table_id", "template", "credential_number").unionByName(linking.key_links(keyed, "record_id", "table_id", "template", "employee_id"))
     owners = keyed.filter("is_hr").select("record_id", F.coalesce("employee_id", "record_id").alias("owner"))
     strong = linking.guard_hr(links.filter("zone = 'auto'").select("a", "b", "weight", "prob", "reasons"), owners)
