@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 
 from . import bytetext as bt
+from .common import FORGET
 
 _MARK = "\u0e59".encode()
 _LETTER = np.zeros(256, bool)
@@ -165,6 +166,9 @@ def encoder(path: str, rule: str) -> ChunkEncoder:
     return ChunkEncoder(path, rule)
 
 
+FORGET.append(encoder.cache_clear)
+
+
 def binary_column(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     """A binary column of consecutive pieces of ``data``; offsets count its items."""
     size = data.dtype.itemsize

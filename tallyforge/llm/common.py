@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import os
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL_DIR: list[str] = []
+#: What empties the caches that a Python worker keeps from task to task.
+FORGET: list[Callable[[], None]] = []
+#: Of tables of short rows whose number has a known bound.
+ROWS_A_FILE = 10_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,8 +52,12 @@ class Scratch:
         if not keep:
             files.deleteOnExit(path)
 
-    def table(self, name: str, df: DataFrame) -> DataFrame:
+    def table(self, name: str, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """``rows``: how many rows ``df`` has at most, if they are short ones. It then takes a file for each ``ROWS_A_FILE`` of them: where
+        a file system has no native library, Hadoop starts processes for each file it creates."""
         path = f"{self.path}/{name}"
+        if rows is not None:
+            df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -100,6 +111,38 @@ def spread_prefix(df: DataFrame, group: str, order: list[str | Column], chunk: C
     return df.withColumn(out, F.col("_base") + F.col("_within")).drop("_g", "_c", "_base", "_within", "_chunk")
 
 
+def frugal(run: Callable, keep: bool = False, most_mb: int = 128) -> Callable:
+    """``run``, a function for mapInArrow, of which a Python worker keeps no memory when its task is over.
+
+    Workers live on between tasks and stages, and allocators keep what was freed: a worker with over ``most_mb`` resident gives that back. Caches
+    of other operators are emptied first, unless ``keep`` is set."""
+
+    def of(batches):
+        if not keep:
+            forget_caches()
+        try:
+            yield from run(batches)
+        finally:
+            give_back(most_mb)
+
+    return of
+
+
+def forget_caches() -> None:
+    for forget in FORGET:  # of the worker's own module, so no part of what is sent to it
+        forget()
+
+
+def give_back(most_mb: int = 0) -> None:
+    """Returns free memory of this process to the system, if over ``most_mb`` are resident (where the system tells)."""
+    with contextlib.suppress(OSError, AttributeError):
+        with open("/proc/self/statm") as f:
+            resident = int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+        if resident > most_mb << 20:
+            pa.default_memory_pool().release_unused()
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_slices(batch: pa.RecordBatch, column: str, most_bytes: int = 3 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of a batch of at most ``most_bytes`` of text (or one row), with the text's bytes and their row offsets; null is empty."""
     if not batch.num_rows:

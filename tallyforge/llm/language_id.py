@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_slices
+from .common import Scratch, frugal, text_slices
 
 UNKNOWN = "und"
 _RUN = np.zeros(256, bool)
@@ -162,7 +162,7 @@ def fit(labelled: DataFrame, per_language: int = 400, centroids: int = 4, dims:
                 found = term_counts(*_lower(batch.column(1)), dims)
                 yield pa.record_batch([batch.column(0), pa.array([row.tobytes() for row in found], pa.binary())], ["lang", "counts"])
 
-    rows = sorted((r["lang"], bytes(r["counts"])) for r in sample.mapInArrow(vectors, "lang string, counts binary").collect())
+    rows = sorted((r["lang"], bytes(r["counts"])) for r in sample.mapInArrow(frugal(vectors), "lang string, counts binary").collect())
     scratch.close()
     if not rows:
         return Model([], np.ones(dims, np.float32), np.zeros((0, dims), np.float32), np.zeros(0, np.int64), np.zeros((0, 1)))
@@ -216,7 +216,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.record_batch([*rows.columns[:-1], pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], [*rows.schema.names[:-1], "lang_pred", "score", "rejected"])
 
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))]).withColumn("letters", has_letter(f"c{at}"))
-    return plain.mapInArrow(judge, f"{schema}, lang_pred string, score double, rejected boolean").toDF(*names, "lang_pred", "score", "rejected")
+    return plain.mapInArrow(frugal(judge), f"{schema}, lang_pred string, score double, rejected boolean").toDF(*names, "lang_pred", "score", "rejected")
 
 
 def is_held_out(doc_id: str = "doc_id") -> Column:

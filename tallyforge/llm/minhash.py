@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
-from .common import Scratch, join_with_hot_keys, key_groups, run_bounds, text_slices
+from .common import Scratch, frugal, join_with_hot_keys, key_groups, run_bounds, text_slices
 from .components import connected_components
 
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -110,7 +110,7 @@ def signatures(docs: DataFrame, words: int, bands: int, band_rows: int) -> DataF
                 raw = short.astype("<u2").tobytes()
                 yield pa.record_batch([rows.column(0), pa.array(np.diff(at)), pa.array(set_ids), pa.array([raw[2 * m * i : 2 * m * (i + 1)] for i in range(rows.num_rows)], pa.binary())], ["doc_id", "n", "set_id", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n long, set_id string, sig binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(sign), "doc_id long, n long, set_id string, sig binary")
 
 
 def _likely(pairs: DataFrame, sigs: DataFrame, m: int, least: float) -> DataFrame:
@@ -124,7 +124,7 @@ def _likely(pairs: DataFrame, sigs: DataFrame, m: int, least: float) -> DataFram
                 yield batch.select([0, 1]).filter(pa.array(keep))
 
     joined = pairs.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")).hint("merge"), "a").join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb")).hint("merge"), "b")
-    return joined.select("a", "b", "sa", "sb").mapInArrow(agree, "a long, b long")
+    return joined.select("a", "b", "sa", "sb").mapInArrow(frugal(agree), "a long, b long")
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -139,7 +139,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 yield pa.record_batch([rows.column(0), pa.array([raw[8 * a : 8 * b] for a, b in spans], pa.binary()), pa.array([small[2 * a : 2 * b] for a, b in spans], pa.binary())], ["doc_id", "elements", "short"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.hint("merge"), "doc_id", "left_semi")
-    return texts.mapInArrow(sets, "doc_id long, elements binary, short binary")
+    return texts.mapInArrow(frugal(sets), "doc_id long, elements binary, short binary")
 
 
 def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
@@ -157,7 +157,7 @@ def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(full.select(F.col("doc_id").alias("a"), F.col("elements").alias("ea")).hint("merge"), "a").join(full.select(F.col("doc_id").alias("b"), F.col("elements").alias("eb")).hint("merge"), "b")
-    return joined.select("a", "b", "ea", "eb").mapInArrow(compare, "a long, b long").distinct()
+    return joined.select("a", "b", "ea", "eb").mapInArrow(frugal(compare), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 36, band_rows: int = 5, block: int = 2048) -> DataFrame:
@@ -173,9 +173,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     signed = scratch.table("signed", signatures(docs, words, bands, band_rows))
     taking = signed.filter("n > 0 and doc_id is not null")
     copies = taking.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"))
-    copies = scratch.table("copies", copies.filter("rows > 1"))
+    n_rows = signed.count()
+    copies = scratch.table("copies", copies.filter("rows > 1"), n_rows)
     nodes = join_with_hot_keys(signed.select("doc_id", "n", F.when(F.col("n") > 0, F.col("set_id")).alias("set_id")), copies, "set_id", "rows", "doc_id")
-    nodes = scratch.table("nodes", nodes.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep")))
+    nodes = scratch.table("nodes", nodes.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep")), n_rows)
     sigs = taking.join(copies.select("set_id", "rep").hint("merge"), "set_id", "left").filter("rep is null or rep = doc_id").select("doc_id", "sig")
     sigs = scratch.table("sigs", sigs)
 
@@ -188,7 +189,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
                     h = bt.mix(h ^ (x[:, :, r] + np.uint64(1)))
                 yield pa.record_batch([pa.array(h.ravel().view(np.int64)), pa.array(np.tile(np.arange(bands, dtype=np.int16), len(x))), pa.array(np.repeat(batch.column(0).to_numpy(), bands))], ["bucket", "band", "doc_id"])
 
-    members = sigs.mapInArrow(band_keys, "bucket long, band short, doc_id long")
+    members = sigs.mapInArrow(frugal(band_keys), "bucket long, band short, doc_id long")
     shared = members.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("size")).filter("low < high")
     members = scratch.table("members", members.join(shared.select("bucket", "size").hint("merge"), "bucket"))
     full = scratch.table("full", _full_sets(docs, members.select("doc_id").distinct(), words))
@@ -289,4 +290,4 @@ def _across_groups(members: DataFrame, groups: DataFrame, sigs: DataFrame, full:
                     out = []
 
     dealt = rows.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
-    return dealt.mapInArrow(compare, "a long, b long")
+    return dealt.mapInArrow(frugal(compare), "a long, b long")

@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
-from .common import Scratch, shuffle_partitions, spread_prefix, text_slices
+from .common import Scratch, frugal, shuffle_partitions, spread_prefix, text_slices
 
 GOLDEN = 0.6180339887498949
 GOLDEN_STEP = (GOLDEN * (1 << 20)) % 1.0
@@ -58,7 +58,7 @@ def word_sizes(docs: DataFrame, key: Column | None = None) -> DataFrame:
                 yield pa.record_batch([rows.column(0), rows.column(1), rows.column(2), pa.array(np.diff(first).astype(np.int64))], ["doc_id", "source", "key", "size"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), (F.xxhash64("text") if key is None else key).alias("key"), "text")
-    return rows.mapInArrow(count, "doc_id long, source string, key long, size long")
+    return rows.mapInArrow(frugal(count), "doc_id long, source string, key long, size long")
 
 
 def source_targets(units: DataFrame, weights: tuple[float, ...], cap: float, scratch: Scratch) -> DataFrame:

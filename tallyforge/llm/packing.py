@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunk_tokens import encoder
-from .common import Scratch, text_slices
+from .common import Scratch, frugal, text_slices
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
@@ -88,7 +88,7 @@ def document_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity:
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip((at[row] + start).tolist(), (at[row] + start + length).tolist(), strict=True)]
                 yield pa.record_batch([rows.column(0).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(cut, keep=True), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(pieces: DataFrame, capacity: int = 4096, rows_per_partition: int = 50_000) -> DataFrame:
@@ -134,7 +134,7 @@ def pack(pieces: DataFrame, capacity: int = 4096, rows_per_partition: int = 50_0
     while True:
         parts = max(1, -(-left.count() // rows_per_partition))
         dealt = left.withColumn("_p", F.pmod(F.xxhash64("place", F.lit(number)), F.lit(parts)).cast("int")).repartitionById(parts, F.col("_p"))
-        out = scratch.table(f"round{number}", dealt.mapInArrow(packed(number, parts == 1), f"{fields}, sequence_id long, offset long, certified boolean, _moved boolean"))
+        out = scratch.table(f"round{number}", dealt.mapInArrow(frugal(packed(number, parts == 1)), f"{fields}, sequence_id long, offset long, certified boolean, _moved boolean"))
         first = F.col("offset") == 0  # a bin has one row there
         bins = out.agg(F.count_if(first).alias("all"), F.count_if(first & F.col("_moved")).alias("moved")).first()
         if parts == 1 or not bins["moved"] or (came_in is not None and bins["all"] >= came_in):

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
-from .common import Scratch, join_with_hot_keys, shuffle_partitions, text_slices
+from .common import Scratch, frugal, join_with_hot_keys, shuffle_partitions, text_slices
 
 ROW = np.uint64(0x9FB21C651E98DF25)
 OTHER = 0x2545F4914F6CDD1D
@@ -100,7 +100,7 @@ def _batch_keys(docs: DataFrame, width: int, shards: int) -> DataFrame:
                 kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
                 yield pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], ["shard", "batch", "n", "keys", "counts", "which", "docs", "ths"])
 
-    return docs.select("doc_id", "th", "text").mapInArrow(run, "shard int, batch long, n long, keys binary, counts binary, which binary, docs binary, ths binary")
+    return docs.select("doc_id", "th", "text").mapInArrow(frugal(run), "shard int, batch long, n long, keys binary, counts binary, which binary, docs binary, ths binary")
 
 
 def _estimated_repeated(docs: DataFrame, width: int, shards: int, scratch: Scratch) -> DataFrame:
@@ -165,14 +165,14 @@ def _estimated_repeated(docs: DataFrame, width: int, shards: int, scratch: Scrat
             if found:
                 yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["doc_id", "th", "key"])
 
-    sketches = batches.select("shard", "keys", "counts").mapInArrow(sketch, "shard int, cells binary, counts binary")
-    merged = sketches.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(merge, "shard int, bits binary")
+    sketches = batches.select("shard", "keys", "counts").mapInArrow(frugal(sketch), "shard int, cells binary, counts binary")
+    merged = sketches.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(frugal(merge), "shard int, bits binary")
     merged = scratch.table("sketch", merged)
     # a shard's sketch comes before the keys that ask it
     questions = merged.select("shard", F.lit(None).cast("long").alias("batch"), F.col("bits").alias("keys")).union(batches.select("shard", "batch", "keys"))
-    often = questions.repartition(shards, "shard").sortWithinPartitions("shard", F.col("batch").asc_nulls_first()).mapInArrow(ask, "shard int, batch long, often binary")
+    often = questions.repartition(shards, "shard").sortWithinPartitions("shard", F.col("batch").asc_nulls_first()).mapInArrow(frugal(ask), "shard int, batch long, often binary")
     found = batches.join(often.hint("merge"), ["shard", "batch"]).select("n", "keys", "which", "docs", "ths", "often")
-    return found.mapInArrow(documents, "doc_id long, th long, key long").groupBy("doc_id", "th").agg(F.collect_list("key").alias("keys"))
+    return found.mapInArrow(frugal(documents), "doc_id long, th long, key long").groupBy("doc_id", "th").agg(F.collect_list("key").alias("keys"))
 
 
 def _sketch_row(shard: int, merged: np.ndarray) -> pa.RecordBatch:
@@ -205,7 +205,7 @@ def _windows(docs: DataFrame, repeated: DataFrame, width: int) -> DataFrame:
                     yield pa.record_batch([pa.array(whole[part].view(np.int64)), pa.array(more[part].view(np.int64)), pa.array(doc[row[part]]), pa.array(th[row[part]]), pa.array(word[part])], ["hash", "more", "doc_id", "th", "word"])
 
     joined = docs.join(repeated.hint("merge"), ["doc_id", "th"]).select("doc_id", "th", "text", "keys")
-    return joined.mapInArrow(emit, "hash long, more long, doc_id long, th long, word int")
+    return joined.mapInArrow(frugal(emit), "hash long, more long, doc_id long, th long, word int")
 
 
 def find_repeats(docs: DataFrame, width: int, scratch: Scratch) -> DataFrame:
@@ -268,7 +268,7 @@ def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
                 yield pa.record_batch([*[rows.column(i) for i in range(len(names))], pa.array(np.diff(first).astype(np.int64)), pa.array(removed.astype(np.int64)), texts], [*rows.schema.names[: len(names)], "n_words", "n_removed", "kept_text"])
 
     columns = [f"c{i}" for i in range(len(names))]
-    out = joined.select(*columns, "all", "words").mapInArrow(clean, f"{schema}, n_words long, n_removed long, kept_text string")
+    out = joined.select(*columns, "all", "words").mapInArrow(frugal(clean), f"{schema}, n_words long, n_removed long, kept_text string")
     return out.toDF(*names, "n_words", "n_removed", "kept_text")
 
 
