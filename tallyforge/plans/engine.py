@@ -157,9 +157,13 @@ def _resolve(persons: DataFrame, pack: Pack, weights: linking.Weights, extra: Da
     typed = F.when(F.col("credential_type").isNotNull() & F.col("credential_number").isNotNull(), F.create_map("credential_type", "credential_number"))
     keyed = settled(keyed.withColumn("licence", typed).withColumn("_short", (F.coalesce("name", F.lit("")) != "") & F.col("key.given").isNull()))
     facts = ["employee_id", "suffix", "licence"]
-    seen = keyed.withColumns({"words": linking.family_words(F.col("key.family")), "key": F.struct(*[F.col(f"key.{c}").alias(c) for c in ("family", "given", "initial", "suffix", "nick_key")])})
-    pairs = linking.block_pairs(seen, [list(r) for r in pack.blocking], "record_id", "table_id", split="facility", keep=[*linking.SCORED, "words"], tasks=4 * spark.sparkContext.defaultParallelism)
-    least = None if auto is None else math.log2(auto / (1 - auto))
+    seen = keyed.withColumn("key", F.struct(*[F.col(f"key.{c}").alias(c) for c in ("family", "given", "initial", "suffix", "nick_key")]))
+    rules, least = [list(r) for r in pack.blocking], None if auto is None else math.log2(auto / (1 - auto))
+    if least is None:
+        seen = seen.withColumn("words", linking.family_words(F.col("key.family")))
+        pairs = linking.block_pairs(seen, rules, "record_id", "table_id", split="facility", keep=[*linking.SCORED, "words"], tasks=4 * spark.sparkContext.defaultParallelism)
+    else:
+        pairs = linking.near_pairs(seen, rules, "record_id", "table_id", weights, least, split="facility")
     links = settled(linking.zones(linking.score_joined(pairs, weights, least), auto=AUTO))
     sure = linking.key_links(keyed, "record_id", "table_id", "template", "credential_number").unionByName(linking.key_links(keyed, "record_id", "table_id", "template", "employee_id"))
     owners = keyed.filter("is_hr").select("record_id", F.coalesce("employee_id", "record_id").alias("owner"))
