@@ -169,18 +169,24 @@ def _resolve(persons: DataFrame, pack: Pack, weights: linking.Weights, extra: Da
     owners = keyed.filter("is_hr").select("record_id", F.coalesce("employee_id", "record_id").alias("owner"))
     strong = linking.guard_hr(links.filter("zone = 'auto'").select("a", "b", "weight", "prob", "reasons"), owners)
     used = strong.unionByName(sure)
+    short = not keyed.filter("_short").isEmpty()
     full = keyed.filter("not _short")
-    for side in "ab":
-        used = used.join(keyed.select(F.col("record_id").alias(side), F.col("_short").alias(f"_{side}")), side)
-    used = settled(used.filter("not (_a and _b)"))
-    solid = linking.constrained_clusters(used.filter("not _a and not _b"), full, "record_id", facts)
-    groups = linking.person_ids(solid, full, "record_id").select("record_id", F.col("person_id").alias("owner"))
-    used = linking.guard_hr(used.select("a", "b", "weight", "prob", "reasons"), groups)
+    if short:
+        for side in "ab":
+            used = used.join(keyed.select(F.col("record_id").alias(side), F.col("_short").alias(f"_{side}")), side)
+        used = used.filter("not (_a and _b)")
+    used = settled(used)
+    solid = linking.constrained_clusters(used.filter("not _a and not _b") if short else used, full, "record_id", facts)
+    if short:
+        groups = linking.person_ids(solid, full, "record_id").select("record_id", F.col("person_id").alias("owner"))
+        used = linking.guard_hr(used.select("a", "b", "weight", "prob", "reasons"), groups)
     if extra is not None:
         for side in "ab":
             extra = extra.join(keyed.select(F.col("record_id").alias(side)), side, "left_semi")
         used = used.unionByName(extra.select("a", "b", "weight", "prob", "reasons"))
     best = used.withColumn("_n", F.row_number().over(W.partitionBy("a", "b").orderBy(F.desc("prob"), F.desc("weight")))).filter("_n = 1").drop("_n")
+    if not short and extra is None:  # no link came or went since: these are the clusters
+        return linking.person_ids(solid, keyed, "record_id"), best, links
     best = settled(best)
     clusters = linking.constrained_clusters(best, keyed, "record_id", facts)
     return linking.person_ids(clusters, keyed, "record_id"), best, links

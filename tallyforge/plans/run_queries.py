@@ -130,7 +130,7 @@ def resolution(spark, sf_dir):
     """Four records of every customer - roster, payroll in capitals, another list, a licence - linked from names, places and numbers alone; the
     SQL is the truth."""
     k = F.col("c_custkey")
-    given, family = _word(k * 7919 + 11), _word(k * 104_729 + 5)
+    given, family = _word(k * 7919 + 11 + F.floor(k / 30**4) * 471_037), _word(k * 104_729 + 5)  # names of four syllables repeat: a repeated family name has another given name
     null = F.lit(None).cast("string")
     role = F.element_at(F.array(F.lit("RN"), F.lit("LPN"), F.lit("CNA")), (k % 3 + 1).cast("int"))
     row = lambda t, template, hr, name, number, eid: F.struct(F.concat(F.lit(t), k.cast("string")).alias("record_id"), F.lit(t).alias("table_id"), F.lit(template).alias("template"), F.lit(hr).alias("is_hr"), name.alias("name"), eid.alias("employee_id"), number.alias("credential_number"), F.when(number.isNotNull(), role).alias("credential_type"))
